@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from clausewright.llm import exact_dedup, mixing, quality_rules
+from clausewright.llm import classifier, exact_dedup, mixing, quality_rules
 
-QUERIES = {"op1_quality_rules": quality_rules, "op4_exact_dedup": exact_dedup, "op10_mix_sources": mixing}
+QUERIES = {"op1_quality_rules": quality_rules, "op4_exact_dedup": exact_dedup, "op7_quality_classifier": classifier, "op10_mix_sources": mixing}
 
 
 def queries() -> dict:

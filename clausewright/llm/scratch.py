@@ -14,6 +14,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clausewright.shipping import ship
+
 #: Characters that separate words in every contract of this package.
 SPACE = "[\\x20\\x09-\\x0D]"
 
@@ -59,6 +61,7 @@ class Scratch:
 
 def pick(df: DataFrame, **wanted: str) -> DataFrame:
     """Columns ``wanted[new] = old`` only, by position: other columns of any name, even twice the same, don't matter."""
+    ship(df.sparkSession)
     flat = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
     return flat.select([F.col(f"c{place(df, old)}").alias(new) for new, old in wanted.items()])
 
