@@ -90,13 +90,13 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: in
     return mix64(np.add.reduceat(value, starts - starts[0]) + length.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(seed))
 
 
-def grams(h: np.ndarray, n: int, base: np.uint64 = np.uint64(0xA24BAED4963EE407)) -> np.ndarray:
+def grams(h: np.ndarray, n: int, base: int = 0xA24BAED4963EE407) -> np.ndarray:
     """A hash of each run of n word hashes, for all starts 0 .. len(h) - n (texts' borders not looked at)."""
     m = len(h) - n + 1
     if m <= 0:
         return np.zeros(0, np.uint64)
-    out, p = np.zeros(m, np.uint64), np.uint64(1)
+    out, p = np.zeros(m, np.uint64), 1
     for k in range(n):
-        out += h[k : k + m] * p
-        p = p * base
+        out += h[k : k + m] * np.uint64(p)
+        p = p * base % (1 << 64)
     return mix64(out)
