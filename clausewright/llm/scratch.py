@@ -84,3 +84,9 @@ def text_or_empty(name: str = "text") -> Column:
 def below(df: DataFrame, rows: int) -> bool:
     """Whether the table has at most so many rows; reads no more than needed to tell."""
     return df.limit(rows + 1).count() <= rows
+
+
+def attach(base: DataFrame, lists: DataFrame, key: str, values: str, how: str, limit: int) -> DataFrame:
+    """``base`` with the array column ``values`` of ``lists`` by ``key``: broadcast up to ``limit`` bytes, joined beyond."""
+    size = lists.agg(F.coalesce(F.sum(F.size(values) * 8 + 24), F.lit(0)).alias("bytes")).first()["bytes"]
+    return base.join(F.broadcast(lists) if size <= limit else lists, key, how).select(*base.columns, values)
