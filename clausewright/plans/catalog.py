@@ -6,10 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from clausewright.plans import retrieval_queries, text_queries
+from clausewright.shipping import ship
+
+MODULES = [text_queries, retrieval_queries]
+
+
+def _shipped(f: Callable) -> Callable:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return f(spark, sf_dir)
+
+    run.__doc__ = f.__doc__
+    return run
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: _shipped(f) for m in MODULES for name, f in m.Q.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in MODULES for name, sql in m.SQL.items()}
