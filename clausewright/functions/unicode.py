@@ -8,6 +8,7 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 DASHES = dict.fromkeys(map(ord, "‐‑‒–—―−"), "-")
 MARKS = dict.fromkeys(map(ord, "‘’‚‛ʼ"), "'") | dict.fromkeys(map(ord, "“”„‟"), '"')
@@ -15,12 +16,12 @@ FOLD = DASHES | MARKS
 ABBREVIATED = re.compile(r"\b(?:e\.g|i\.e|no|inc|ltd|co|corp|art|sec|mr|ms|dr|vs)\.$", re.I)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x is None else unicodedata.normalize("NFC", x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc_fold(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x is None else " ".join(unicodedata.normalize("NFKC", x).casefold().split()))
 
@@ -70,7 +71,7 @@ def locate_quote(source: str | None, quote: str | None, least: int = 12) -> str
     return source[starts[first] : ends[last - 1]]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def source_quote(source: pd.Series, quote: pd.Series) -> pd.Series:
     return pd.Series([locate_quote(a, b) for a, b in zip(source, quote, strict=True)], dtype=object)
 
@@ -86,7 +87,7 @@ def sentence_at(text: str, at: int, limit: int = 400) -> str:
     return text[start:end].strip()[:limit]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def sentence_around(text: pd.Series, at: pd.Series) -> pd.Series:
     return pd.Series([None if t is None or a is None or a < 0 else sentence_at(t, int(a)) for t, a in zip(text, at, strict=True)], dtype=object)
 
@@ -96,7 +97,7 @@ def ratio(a: str | None, b: str | None) -> float:
     return difflib.SequenceMatcher(None, a or "", b or "", autojunk=False).ratio()
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([ratio(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
 

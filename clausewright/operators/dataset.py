@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from clausewright.functions.text import blank_to_null, text, trimmed
 
@@ -29,7 +30,7 @@ def find_column(columns: list[str], *parts: str) -> str | None:
     return next((c for c in columns if re.sub(r"[\s_-]+", "", c).lower() == want), None)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def _literal(s: pd.Series) -> pd.Series:
     def one(x):
         try:
