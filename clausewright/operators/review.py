@@ -18,7 +18,7 @@ def infer_domain(ladder: list[tuple[str, str]], *fields: Column, default: str =
 def evidence_list(one: Column, many: Column) -> Column:
     """An array of distinct quotes from a string or an array, blanks left out."""
     both = F.concat(F.coalesce(many, F.array().cast("array<string>")), F.array(F.coalesce(one, F.lit(""))))
-    return F.array_distinct(F.filter(F.transform(both, F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(both, lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def clause_list(c: Column) -> Column:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from clausewright.functions import text as T
-from clausewright.functions.regexkit import rx
 from clausewright.operators import dataset, rules
 from clausewright.operators.metrics import checks as check_rows
 from clausewright.plans.tables import FAMILIES, LABELS, PAIRS, RULES, SPAN_PATTERNS, normal_key, table
@@ -191,9 +190,10 @@ def q_shingle_jaccard(spark, d):
 
     Probes are a fixed set; only documents' shingles that a probe has leave their task.
     """
-    grams = lambda df, key: df.select(key, F.explode(T.shingles(T.tokens("text"), 5)).alias("g"))
+    grams = lambda df, key: df.select(key, T.tokens("text").alias("w")).select(key, T.shingles(F.col("w"), 5).alias("gs")).select(key, F.explode("gs").alias("g"))
     docs = table(spark, d, "documents").withColumn("words", T.tokens("text"))
-    b = docs.select("doc_id", T.shingles(F.col("words"), 5).alias("gs")).select("doc_id", F.size("gs").alias("nb"), F.explode("gs").alias("g"))
+    # sizes are taken before the explode, so that no exploded row drags its whole array along
+    b = docs.select("doc_id", T.shingles(F.col("words"), 5).alias("gs")).select("doc_id", F.size("gs").alias("nb"), "gs").select("doc_id", "nb", F.explode("gs").alias("g"))
     a = grams(table(spark, d, "benchmark").select(F.col("item_id").alias("probe"), "text"), "probe")
     na = a.groupBy("probe").agg(F.count("*").alias("na"))
     s = b.join(a, "g").groupBy("probe", "doc_id", "nb").agg(F.count("*").alias("c")).join(na, "probe")
@@ -328,8 +328,8 @@ def q_low_support(spark, d):
     return dataset.low_support(table(spark, d, "documents").where("lang = 'es'"), "source")
 
 
-@query(r"SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '\b(?:the|und|les|los)\b'))), ',') AS found FROM documents")
+@query("SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(coalesce(text, '')), ' (?:the|und|les|los) '))), ',') AS found FROM documents")
 def q_keywords(spark, d):
     """T18, T41."""
     t = F.lower(T.text("text"))
-    return table(spark, d, "documents").select("doc_id", F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all(t, F.lit(rx(r"\b(?:the|und|les|los)\b", unicode=False)), F.lit(0)))), ",").alias("found"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all(t, F.lit(" (?:the|und|les|los) "), F.lit(0)))), ",").alias("found"))

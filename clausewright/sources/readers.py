@@ -75,7 +75,7 @@ def nested_qa(df: DataFrame) -> DataFrame:
 
 def text_documents(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:
     """A row per text file with an allowed suffix."""
-    return spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path).select(F.col("_metadata.file_name").alias("filename"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob).select(F.col("_metadata.file_name").alias("filename"), F.col("value").alias("text"))
 
 
 def front_matter(files: DataFrame, registry: DataFrame | None = None, required: tuple[str, ...] = ()) -> DataFrame:
@@ -89,7 +89,7 @@ def front_matter(files: DataFrame, registry: DataFrame | None = None, required:
     own = F.map_from_entries(F.transform(lines, lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)), F.trim(F.regexp_replace(x, r"^[^:]*:", "")))))
     has = F.col("text").rlike(r"^\s*---") & (F.size(cut) == 3)
     empty = F.create_map().cast("map<string,string>")
-    df = files.select("filename", F.when(has, own).otherwise(empty).alias("own"), F.when(has, F.trim(F.get(cut, F.lit(2)))).otherwise(F.col("text")).alias("body"))
+    df = files.select("filename", F.when(has, own).otherwise(empty).alias("own"), F.when(has, trimmed(F.get(cut, F.lit(2)))).otherwise(F.col("text")).alias("body"))
     if registry is not None:
         df = df.join(registry.select("filename", F.col("meta").alias("base")), "filename", "left")
         merged = F.map_concat(F.map_filter(F.coalesce("base", empty), lambda k, _: ~F.map_contains_key("own", k)), F.col("own"))
