@@ -129,7 +129,7 @@ def start_depth(percent: int, trees: int, depth: int) -> int:
 
 
 def regions(classes: DataFrame, trees: int, depth: int, start: int, crowd: int, work: Scratch) -> DataFrame:
-    """``key, tree, label, id`` of classes (id, sig): texts that share a prefix with another, by region."""
+    """``key, label, id, m`` of classes (id, sig): texts that share a prefix with another, by region of m texts."""
     width = 4 * depth
     rows = classes.select("id", "sig", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
     rows = rows.select("id", "tree", F.expr(f"substring(sig, tree * {width} + 1, {width})").alias("label"))
@@ -139,7 +139,7 @@ def regions(classes: DataFrame, trees: int, depth: int, start: int, crowd: int,
         sizes = keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
         level = work.keep(keyed.join(sizes, "key"))
         fine = level if d == depth else level.where(F.col("m") <= crowd)
-        fine = fine.select("key", "tree", "label", "id")
+        fine = fine.select("key", "label", "id", "m")
         found = fine if found is None else found.unionByName(fine)
         rows = level.where(F.col("m") > crowd).select("id", "tree", "label")
         if d == depth or rows.isEmpty():
@@ -206,9 +206,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = regions(classes, trees, depth, start_depth(percent, trees, depth), crowd, work)
 
     # 1. each text's most frequent neighbour in sorted order (a crowd that no prefix cuts is dealt out)
-    share = F.pmod(F.xxhash64("id"), F.lit(64))
-    numbered = found.withColumn("share", F.when(F.col("tree") % 2 == 0, F.lit(0)).otherwise(share % 2))
-    pairs = numbered.selectExpr("id AS b", "lag(id) OVER (PARTITION BY key, share ORDER BY label, id) AS a").where("a IS NOT NULL AND a <> b")
+    shares = F.ceil(F.col("m") / F.lit(crowd)).cast("int")
+    pairs = found.withColumn("share", F.pmod(F.xxhash64("id"), shares)).selectExpr("id AS b", "lag(id) OVER (PARTITION BY key, share ORDER BY label, id) AS a").where("a IS NOT NULL AND a <> b")
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).groupBy("a", "b").agg(F.count("*").alias("times"))
     best = pairs.groupBy("b").agg(F.max_by("a", "times").alias("a")).select("a", "b")
     members = work.keep(found.select("id").distinct())
