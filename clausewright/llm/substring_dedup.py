@@ -6,7 +6,7 @@ anchors.  The windows that share an anchor occurrence form a *reference block*:
 run of 1 to ``window - gram + 1`` starts, whose hash covers all its words.
 
 1. anchors     Grams that occur once in the corpus decide their windows: nothing to
-               find.  One narrow aggregate over about a seventh of all positions.
+               find.  One narrow aggregate over the anchors, a seventh of all words.
 2. factors     Blocks with a repeated anchor are looked up in the index of all such
                blocks.  One that has an earlier occurrence is a factor: all of it
                is a duplicate span.
@@ -16,10 +16,10 @@ run of 1 to ``window - gram + 1`` starts, whose hash covers all its words.
                later copies repeat its windows, that finds every earlier start.
 
 Spans are the union of both, so a word is removed exactly if a window that covers
-it also starts earlier.  Hashes of blocks and windows have 96 bits; an anchor's 64
-only preselect.  Shuffles carry hashes and positions, counted before they are joined
+it also starts earlier.  A block's key has 128 bits (its own and
+its anchor's hash), a window's 96.  Shuffles carry hashes and positions, counted before they are joined
 back, and no text: lists of positions go to the texts, by broadcast while they are
-small and by a join on the id beyond.  Text is read four times instead.
+small and by a join on the id beyond.  Text is read three times instead.
 
 Defined results
 * null and empty texts have no words; so do texts of white space only;
@@ -45,6 +45,11 @@ from clausewright.llm.scratch import Scratch, pick, text_or_empty
 WINDOW, GRAM = 20, 8
 #: Bytes of position lists up to which they are broadcast.
 BROADCAST_BYTES = 48 << 20
+#: Sorted spans that touch or overlap made one.
+MERGED = (
+    "aggregate(spans, cast(array() as array<struct<lo:int,hi:int>>), (got, x) -> case when size(got) = 0 or x.lo > element_at(got, -1).hi then concat(got, array(x))"
+    " when x.hi <= element_at(got, -1).hi then got else concat(slice(got, 1, size(got) - 1), array(named_struct('lo', element_at(got, -1).lo, 'hi', x.hi))) end)"
+)
 BASES = (0xA24BAED4963EE407, 0x9FB21C651E98DF25)
 
 
@@ -117,7 +122,7 @@ def _attach(base: DataFrame, lists: DataFrame, values: str, how: str, limit: int
     return base.join(F.broadcast(lists) if size <= limit else lists, "id", how).select(*base.columns, values)
 
 
-def _repeated(rows: DataFrame, key: list[str], work: Scratch) -> DataFrame:
+def _repeated(rows: DataFrame, key: list[str]) -> DataFrame:
     """``rows`` (id, lo, ...) with ``first``, the least (id, lo) of their key, where the key occurs twice or more."""
     firsts = rows.groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct("id", "lo")).alias("first")).where("n > 1").drop("n")
     return rows.join(firsts, key)
@@ -128,20 +133,15 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     work = Scratch(docs.sparkSession, "substring-dedup")
     base = pick(docs, id=id_col, text=text_col).where("id IS NOT NULL").select("id", text_or_empty().alias("text"))
 
-    anchors = work.keep(_scan(base, "anchor long, place int", lambda x, _: (x.doc(x.anchor), x.grams[x.anchor].view(np.int64), (x.anchor - x.at[x.doc(x.anchor)]).astype(np.int32)), window, gram))
-    twice = anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    hits = work.keep(anchors.join(twice, "anchor").groupBy("id").agg(F.collect_list("place").alias("places")))
-    work.drop(anchors)
+    def blocks(x: Layout, _):
+        text = x.doc(x.lo)
+        return text, x.grams[x.anchor].view(np.int64), x.spans(x.lo, x.count + x.window - 1)[0], (x.lo - x.at[text]).astype(np.int32), x.count.astype(np.int32)
 
-    def blocks(x: Layout, lists: pa.ListArray):
-        at = np.flatnonzero(x.marked(lists)[x.anchor])
-        lo, n = x.lo[at], x.count[at]
-        text = x.doc(lo)
-        return text, (lo - x.at[text]).astype(np.int32), n.astype(np.int32), *x.spans(lo, n + x.window - 1)
-
-    found = work.keep(_scan(_attach(base, hits, "places", "inner", broadcast_bytes), "lo int, n int, h long, c int", blocks, window, gram))
-    work.drop(hits)
-    repeated = work.keep(_repeated(found, ["h", "c"], work).where(F.struct("id", "lo") != F.col("first")).select("id", "lo", (F.col("lo") + F.col("n") + F.lit(window - 1)).alias("hi")))
+    every = work.keep(_scan(base, "anchor long, h long, lo int, n int", blocks, window, gram))
+    twice = every.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1").select("anchor")
+    found = work.keep(every.join(twice, "anchor"))
+    work.drop(every)
+    repeated = work.keep(_repeated(found, ["anchor", "h"]).where(F.struct("id", "lo") != F.col("first")).select("id", "lo", (F.col("lo") + F.col("n") + F.lit(window - 1)).alias("hi")))
     later = repeated.select("id", "lo").distinct()
     left = work.keep(found.join(later, ["id", "lo"], "left_anti").groupBy("id").agg(F.collect_set("lo").alias("places")))
 
@@ -154,8 +154,8 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     single = work.keep(_scan(_attach(base, left, "places", "inner", broadcast_bytes), "lo int, h long, c int", windows, window, gram))
     work.drop(found, left)
-    more = _repeated(single, ["h", "c"], work).where(F.struct("id", "lo") != F.col("first")).select("id", "lo", (F.col("lo") + F.lit(window)).alias("hi"))
-    spans = work.keep(repeated.unionByName(more).groupBy("id").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("spans")))
+    more = _repeated(single, ["h", "c"]).where(F.struct("id", "lo") != F.col("first")).select("id", "lo", (F.col("lo") + F.lit(window)).alias("hi"))
+    spans = work.keep(repeated.unionByName(more).groupBy("id").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("spans")).select("id", F.expr(MERGED).alias("spans")))
     work.drop(repeated, single)
     return spans
 
