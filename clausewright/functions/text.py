@@ -411,6 +411,15 @@ def closed_set_prediction(c: Column | str, labels: list[str], field: str = "labe
     return F.struct(label.alias("prediction"), status.alias("status"), raw.alias("raw"))
 
 
+def checklist_answers(c: Column | str, valid_ids: Column | None = None, allowed: tuple[str, ...] = ("YES", "NO", "DON'T KNOW")) -> Column:
+    """array<struct(id, answer, evidence)> of a model's JSON array: admissible answers to known ids; an id given twice counts for nothing."""
+    read = F.from_json(F.regexp_extract(strip_reasoning(c), r"(?s)\[.*\]", 0), "array<struct<id: string, answer: string, evidence: string>>")
+    got = F.coalesce(read, F.array().cast("array<struct<id: string, answer: string, evidence: string>>"))
+    ids = F.transform(got, lambda x: x["id"])
+    known = (lambda x: F.array_contains(valid_ids, x["id"])) if valid_ids is not None else (lambda x: F.lit(True))
+    return F.filter(got, lambda x: F.upper(x["answer"]).isin(*allowed) & known(x) & (F.size(F.filter(ids, lambda i: i == x["id"])) == 1))
+
+
 def phrase_pattern(phrase: str, generic: tuple[str, ...] = ("agreement", "party", "clause", "contract")) -> str | None:
     """A pattern for a keyword phrase on word borders; None for one of generic words only."""
     words = re.findall(r"[a-z0-9]+", phrase.lower())

@@ -80,6 +80,13 @@ def test_model_output(one):
     assert one(None, lambda c: T.closed_set_prediction(c, ["fee"]))[1] == "empty"
 
 
+def test_checklist(one):
+    raw = '<think>x</think>[{"id": "a", "answer": "yes", "evidence": "e"}, {"id": "b", "answer": "NO"}, {"id": "b", "answer": "YES"}, {"id": "c", "answer": "maybe"}, {"id": "z", "answer": "NO"}]'
+    got = one(raw, lambda c: T.checklist_answers(c, F.array(F.lit("a"), F.lit("b"), F.lit("c"))))
+    assert [tuple(x) for x in got] == [("a", "yes", "e")]
+    assert one("no json", T.checklist_answers) == [] and one(None, T.checklist_answers) == []
+
+
 def test_small_tools(one):
     assert one("Fee & Law!", T.slug) == "fee-law" and one("abcdefghij", lambda c: T.clip(c, 8)) == "abcde..." and one("limitations", T.stem) == "limit"
     assert one("a b c d", lambda c: T.shingles(F.split(c, " "), 3)) == ["a b c", "b c d"] and one("a", lambda c: T.shingles(F.split(c, " "), 3)) == []
