@@ -15,6 +15,36 @@ def distance(a, b):
     return row[-1]
 
 
+def test_short_lines_by_edits(spark):
+    """Every link of lines below 50 characters, at any place and of any kind of edit."""
+    r = random.Random(7)
+    lines = []
+    for _ in range(60):
+        base = "".join(r.choice("abcdefgh ") for _ in range(r.randrange(8, 48))).strip() or "a"
+        lines.append(" ".join(base.split()))
+        for _ in range(2):
+            x = list(lines[-1])
+            for _ in range(r.randrange(1, 6)):
+                at = r.randrange(len(x))
+                x[at] = r.choice([x[at] + "z", "y", ""])
+            lines.append(" ".join("".join(x).split()) or "b")
+    lines = [x for x in dict.fromkeys(lines) if len(x) < 50] + ["page 3 of 9 in all", "page 4 of 9 in all"]
+    got = {x.doc_id: x.text for x in line_dedup.line_dedup(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"), by="edit").collect()}
+    root = list(range(len(lines)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, x in enumerate(lines):
+        for j, y in enumerate(lines[:i]):
+            if 10 * distance(x, y) <= max(len(x), len(y)):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    assert got == {i: x if find(i) == i else "" for i, x in enumerate(lines)} and "" in got.values()
+
+
 def test_long_lines_by_edits(spark):
     """Lines of 10 to 80 words with one word changed are found but for the stated share; others stay."""
     r = random.Random(8)
