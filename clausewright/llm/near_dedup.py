@@ -5,9 +5,10 @@ orders texts by its ``depth`` values.  Texts with equal sets are one class from
 start, stood for by their smallest id, so copies never meet as pairs.
 
 Candidates.  In each tree texts that share a prefix of ``start`` values form a
-region; one of more than ``crowd`` texts is cut by longer and longer prefixes, so
-depth adapts to a region's density.  ``start`` is the depth at which a pair at the
-threshold is missed by all trees with probability below ``MISS``.
+region, whatever its size; the other values of ``depth`` order it.  ``start`` is the
+depth at which a pair at the threshold is missed by all trees with probability below
+``MISS``.  Regions of more than ``crowd`` texts are dealt out for the sorting of step 1
+only.
 
 Links are found in two steps, so that a region of m similar texts costs m links and
 not m * m pairs:
@@ -49,7 +50,7 @@ from clausewright.llm.graph import components
 from clausewright.llm.scratch import Scratch, pick, text_or_empty
 
 TREES, DEPTH, MISS, Z = 16, 8, 2e-5, 4.0
-#: Texts of a region above which its prefix grows; shingles in a block of a region; ids up to which they are broadcast.
+#: Texts of a region above which step 1 deals it out; shingles in a block of a region; ids up to which they are broadcast.
 CROWD, BLOCK, BROADCAST_IDS = 20_000, 300_000, 1_000_000
 
 
@@ -128,22 +129,14 @@ def start_depth(percent: int, trees: int, depth: int) -> int:
     return max(fit, default=1)
 
 
-def regions(classes: DataFrame, trees: int, depth: int, start: int, crowd: int, work: Scratch) -> DataFrame:
+def regions(classes: DataFrame, trees: int, depth: int, start: int, work: Scratch) -> DataFrame:
     """``key, label, id, m`` of classes (id, sig): texts that share a prefix with another, by region of m texts."""
     width = 4 * depth
     rows = classes.select("id", "sig", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
     rows = rows.select("id", "tree", F.expr(f"substring(sig, tree * {width} + 1, {width})").alias("label"))
-    found = None
-    for d in range(start, depth + 1):
-        keyed = rows.withColumn("key", F.xxhash64("tree", F.expr(f"substring(label, 1, {4 * d})")))
-        sizes = keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-        level = work.keep(keyed.join(sizes, "key"))
-        fine = level if d == depth else level.where(F.col("m") <= crowd)
-        fine = fine.select("key", "label", "id", "m")
-        found = fine if found is None else found.unionByName(fine)
-        rows = level.where(F.col("m") > crowd).select("id", "tree", "label")
-        if d == depth or rows.isEmpty():
-            return found
+    keyed = rows.withColumn("key", F.xxhash64("tree", F.expr(f"substring(label, 1, {4 * start})")))
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    return work.keep(keyed.join(sizes, "key").select("key", "label", "id", "m"))
 
 
 def linked(rows: DataFrame, percent: int) -> DataFrame:
@@ -203,9 +196,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kind = base.schema["id"].dataType
     all_ = work.keep(described(base, size, trees * depth))
     classes = work.keep(all_.where("id IS NOT NULL AND n > 0").groupBy("f", "g").agg(F.min("id").alias("id"), F.first("sig").alias("sig"), F.first("n").alias("n")))
-    found = regions(classes, trees, depth, start_depth(percent, trees, depth), crowd, work)
+    found = regions(classes, trees, depth, start_depth(percent, trees, depth), work)
 
-    # 1. each text's most frequent neighbour in sorted order (a crowd that no prefix cuts is dealt out)
+    # 1. each text's most frequent neighbour in sorted order (a crowd is dealt out)
     shares = F.ceil(F.col("m") / F.lit(crowd)).cast("int")
     pairs = found.withColumn("share", F.pmod(F.xxhash64("id"), shares)).selectExpr("id AS b", "lag(id) OVER (PARTITION BY key, share ORDER BY label, id) AS a").where("a IS NOT NULL AND a <> b")
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).groupBy("a", "b").agg(F.count("*").alias("times"))

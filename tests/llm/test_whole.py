@@ -2,7 +2,7 @@
 
 import random
 
-from clausewright.llm import line_dedup
+from clausewright.llm import line_dedup, near_dedup
 
 
 def distance(a, b):
@@ -57,3 +57,25 @@ def test_long_lines_by_edits(spark):
     want = {i for i, x in docs if i % 2 and 10 * distance(x, docs[i - 1][1]) <= max(len(x), len(docs[i - 1][1]))}
     got = {x.id for x in line_dedup.dropped_lines(spark.createDataFrame(docs, "doc_id long, text string"), by="edit").collect()}
     assert got <= want and len(got) >= 0.97 * len(want) > 0
+
+
+def test_crowd_loses_no_link(spark):
+    """Members of a family, each with one link near the threshold, in regions larger than ``crowd``."""
+    r = random.Random(4)
+    texts = {}
+    for f in range(40):
+        w = [f"f{f}w{k}" for k in range(104)]
+        for i in range(6):
+            texts[6 * f + i] = " ".join(w)
+            at = r.randrange(0, 90)
+            w = w[:at] + [f"n{f}x{i}y{k}" for k in range(6)] + w[at + 6 :]
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(100)} for i, t in texts.items()}
+    want = {i: i for i in texts}
+    for i in sorted(texts):
+        for j in range(i - i % 6, i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                old, new = max(want[i], want[j]), min(want[i], want[j])
+                want = {k: new if c == old else c for k, c in want.items()}
+    got = near_dedup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), size=5, percent=80, crowd=1).collect()
+    assert {g.id: g.component for g in got} == want and set(want.values()) != set(want)
