@@ -29,7 +29,7 @@ def test_short_lines_by_edits(spark):
                 x[at] = r.choice([x[at] + "z", "y", ""])
             lines.append(" ".join("".join(x).split()) or "b")
     lines = [x for x in dict.fromkeys(lines) if len(x) < 50] + ["page 3 of 9 in all", "page 4 of 9 in all"]
-    got = {x.doc_id: x.text for x in line_dedup.line_dedup(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"), by="edit").collect()}
+    got = {x.doc_id: x.text for x in line_dedup.line_dedup(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()}
     root = list(range(len(lines)))
 
     def find(x):
@@ -55,7 +55,7 @@ def test_long_lines_by_edits(spark):
         w[r.randrange(len(w))] = "other"
         docs.append((2 * i + 1, " ".join(w)))
     want = {i for i, x in docs if i % 2 and 10 * distance(x, docs[i - 1][1]) <= max(len(x), len(docs[i - 1][1]))}
-    got = {x.id for x in line_dedup.dropped_lines(spark.createDataFrame(docs, "doc_id long, text string"), by="edit").collect()}
+    got = {x.id for x in line_dedup.dropped_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got <= want and len(got) >= 0.97 * len(want) > 0
 
 
