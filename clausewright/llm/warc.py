@@ -1,12 +1,14 @@
 """WARC archives: a deterministic sharded writer and a reader.
 
 Writer.  One narrow pass finds, per payload digest, the record that the others
-revisit.  Records are then range-partitioned by id into shards of equal id width
-and sorted; each task streams its records, one gzip member each, into files that
+revisit.  Records are then range-partitioned by id into shards of about equal payload
+bytes and sorted: ids are counted in ``CELLS`` cells of equal width, runs of which make
+a shard.  Shards depend on the rows alone, not on the cluster.  Each task streams its records, one gzip member each, into files that
 roll once their compressed size reaches ``roll_bytes``.  Headers and digests are
 generated from the payload; no clock, host or random number enters a file, so a
 repeated task writes the same bytes.  A file is written under a temporary name and
-renamed when complete; the manifest (file, records, bytes, SHA-256, first and last
+renamed when complete, unless another attempt has already put the same file there;
+what failed attempts leave goes with the temporary folder.  The manifest (file, records, bytes, SHA-256, first and last
 id), written by Spark's own commit, names the files that count.
 
 Reader.  Only files of the manifest are read, streamed member by member; a payload
@@ -36,17 +38,22 @@ from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clausewright.llm.scratch import Scratch, below, pick
 
 #: Compressed bytes at which a file is closed; payload bytes of a shard; least payload bytes of a revisit.
-ROLL, SHARD, LEAST = 64 << 20, 64 << 20, 1000
+ROLL, SHARD, LEAST = 64 << 20, 16 << 20, 1000
+#: Tasks that read archives, at most.
+READERS = 100_000
+#: Cells of ids whose bytes are counted, at most.
+CELLS = 100_000
 #: Payloads found twice or more up to which their list is broadcast (about 60 bytes each).
 BROADCAST_PAYLOADS = 500_000
 DATE = "2024-01-01T00:00:00Z"
 CRLF = b"\r\n"
+TEMPORARY = "_temporary"
 MANIFEST = "file string, records long, bytes long, sha256 string, first_id long, last_id long"
 
 
@@ -87,7 +94,7 @@ class Roller:
     def add(self, page_id: int | None, data: bytes) -> Iterator[dict]:
         if self.out is None:
             self.name = f"shard-{self.shard:08d}-{self.n:05d}.warc.gz"
-            self.temp = f"{self.root}/_temporary-{uuid.uuid4().hex}-{self.name}"
+            self.temp = f"{self.root}/{TEMPORARY}/{uuid.uuid4().hex}-{self.name}"
             self.out = self.fs.open_output_stream(self.temp, compression=None)
             self.sha, self.row = hashlib.sha256(), {"file": self.name, "records": 0, "bytes": 0, "first_id": page_id}
             self._put(_record("warcinfo", [("WARC-Record-ID", f"<urn:file:{self.name}>"), ("WARC-Filename", self.name), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n"))
@@ -104,7 +111,9 @@ class Roller:
 
     def close(self) -> dict:
         self.out.close()
-        self.fs.move(self.temp, f"{self.root}/{self.name}")
+        final = f"{self.root}/{self.name}"
+        if self.fs.get_file_info(final).type == fs.FileType.NotFound:
+            self.fs.move(self.temp, final)  # else another attempt has written the same bytes
         self.out, self.n = None, self.n + 1
         return self.row | {"sha256": self.sha.hexdigest()}
 
@@ -119,14 +128,17 @@ def write(pages: DataFrame, uri: str, id_col: str = "page_id", url_col: str = "u
     twice = work.keep(narrow.where(F.col("n") >= least).groupBy("sha").agg(F.count("*").alias("copies"), F.max("id").alias("target")).where("copies > 1").select("sha", "target"))
     spread = narrow.agg(F.min("id").alias("low"), F.max("id").alias("high"), F.sum("n").alias("bytes")).first()
     low, high, total = spread["low"] or 0, spread["high"] or 0, spread["bytes"] or 0
-    shards = max(1, min(high - low + 1, -(-total // shard_bytes), 1_000_000), min(high - low + 1, spark.sparkContext.defaultParallelism))
-    width = max(1, -(-(high - low + 1) // shards))
-    shard = F.coalesce(F.floor((F.col("id") - F.lit(low)) / F.lit(width)).cast("int"), F.lit(0))
+    width = max(1, -(-(high - low + 1) // CELLS))
+    cell = F.coalesce(F.floor((F.col("id") - F.lit(low)) / F.lit(width)).cast("int"), F.lit(0))
+    sums = narrow.groupBy(cell.alias("cell")).agg(F.sum("n").alias("bytes"))  # at most CELLS rows
+    ends = F.sum("bytes").over(Window.orderBy("cell")) - F.col("bytes")
+    shard_of = work.keep(sums.select("cell", F.floor(ends / F.lit(shard_bytes)).cast("int").alias("shard")))
+    shards = max(1, -(-total // shard_bytes))
     rows = base.join(F.broadcast(twice) if below(twice, BROADCAST_PAYLOADS) else twice, "sha", "left")
-    rows = rows.select(shard.alias("shard"), "id", "url", "payload", F.when(F.col("target") != F.coalesce("id", F.lit(-(2**63))), F.col("target")).alias("refers_to"), "sha")
-    rows = rows.repartition(shards, "shard").sortWithinPartitions("shard", "id", "url", "sha").drop("sha")
+    rows = rows.withColumn("cell", cell).join(F.broadcast(shard_of), "cell").select("shard", "id", "url", "payload", F.when(F.col("target") != F.coalesce("id", F.lit(-(2**63))), F.col("target")).alias("refers_to"), "sha")
+    rows = rows.repartitionByRange(min(shards, 1_000_000), "shard").sortWithinPartitions("shard", "id", "url", "sha").drop("sha")
     folder, root = fs.FileSystem.from_uri(uri)
-    folder.create_dir(root, recursive=True)
+    folder.create_dir(f"{root}/{TEMPORARY}", recursive=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done, roller = [], None
@@ -144,7 +156,8 @@ def write(pages: DataFrame, uri: str, id_col: str = "page_id", url_col: str = "u
         yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in done], k) for n, k in zip(names, kinds, strict=True)], names)
 
     rows.mapInArrow(run, MANIFEST).write.parquet(f"{uri}/manifest")
-    work.drop(narrow, twice)
+    work.drop(narrow, twice, shard_of)
+    folder.delete_dir(f"{root}/{TEMPORARY}")
     return spark.read.schema(MANIFEST).parquet(f"{uri}/manifest")
 
 
@@ -205,7 +218,7 @@ def read(spark: SparkSession, uri: str, with_payload: bool = True) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in found], t) for n, t in zip(names, types, strict=True)], names)
 
     files = spark.read.schema(MANIFEST).parquet(f"{uri}/manifest").select("file")
-    return files.repartition("file").mapInArrow(run, schema)
+    return files.repartitionByRange(max(1, min(files.count(), READERS)), "file").mapInArrow(run, schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -150,7 +150,7 @@ def test_html(odd):
 
 def test_warc(spark, odd):
     uri = Scratch(spark, "warc-test").root
-    manifest = warc.write(odd, uri, "doc_id", "source", "text", roll_bytes=20_000)
+    manifest = warc.write(odd, uri, "doc_id", "source", "text", roll_bytes=20_000, least=500)
     assert manifest.agg(F.sum("records")).first()[0] == len(ROWS)
     got = warc.read(spark, uri).collect()
     raw = sorted(((r[0], r[3], (r[1] or "").encode()) for r in ROWS), key=str)
@@ -160,3 +160,15 @@ def test_warc(spark, odd):
         if r.record_type == "response":
             assert (r.id, r.url, bytes(r.payload)) in raw
     assert {(r.id, r.refers_to) for r in got if r.record_type == "revisit"} == {(None, 4)}
+
+
+def test_warc_files_depend_on_the_rows_alone(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    found = []
+    for parts, shuffle in ((1, "3"), (9, "11")):
+        uri = Scratch(spark, "warc-test").root
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", shuffle)
+        found.append(sorted(map(tuple, warc.write(pages.repartition(parts), uri, roll_bytes=30_000, shard_bytes=40_000).collect())))
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1] and len(found[0]) > 2
