@@ -8,6 +8,11 @@ pieces.  A filling is applied as often as the counts allow.
 searches: around the largest remaining length it enumerates fillings of the rest of
 the bin that no other filling dominates, least waste first, and goes back as soon as
 the waste so far rules out fewer bins than the incumbent's.
+
+The search begins with the best ``WIDTH`` fillings of ``STEPS`` steps for each bin.  If
+that cut an enumeration short and the lower bound is not met, it begins again with four
+times both, until nothing was cut or ``nodes`` branches are spent.  So it is exact with
+enough branches, and ``nodes`` alone bounds the work.
 """
 
 from __future__ import annotations
@@ -17,7 +22,7 @@ from bisect import bisect_left, insort
 #: A filling: ((length, how often in a bin), ...), and the number of bins with it.
 Plan = list[tuple[tuple[tuple[int, int], ...], int]]
 
-#: Fillings kept for a branch; steps of one enumeration; branches of the whole search.
+#: Fillings kept for a branch and steps of one enumeration, at first; branches of the whole search.
 WIDTH, STEPS, NODES = 4, 400, 20_000
 
 
@@ -82,8 +87,8 @@ def _dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
     return True
 
 
-def fillings(counts: dict[int, int], sizes: list[int], room: int, width: int = WIDTH, steps: int = STEPS) -> list[tuple[tuple[int, int], ...]]:
-    """Undominated fillings of ``room``, least waste first."""
+def fillings(counts: dict[int, int], sizes: list[int], room: int, width: int = WIDTH, steps: int = STEPS) -> tuple[list[tuple[tuple[int, int], ...]], bool]:
+    """Undominated fillings of ``room``, least waste first, and whether there may be others."""
     found: list[tuple[int, tuple[int, ...]]] = []
     budget = steps
 
@@ -96,26 +101,30 @@ def fillings(counts: dict[int, int], sizes: list[int], room: int, width: int = W
             s = sizes[k]
             if got.count(s) < counts[s]:
                 grown = True
-                if go(room - s, s, (*got, s)):
+                if go(room - s, s, (*got, s)) and steps <= STEPS:
                     return True
             k -= 1
         if not grown and got:
             found.append((room, got))
         return room == 0
 
-    go(room, room, ())
+    full = go(room, room, ())  # a full bin dominates the rest of its kind, but not fillings of other items
     found.sort()
+    cut = budget <= 0 or full
     kept: list[tuple[int, tuple[int, ...]]] = []
     for waste, f in found:
+        if any(_dominates(g, f) for _, g in kept):
+            continue
         if len(kept) == width:
+            cut = True
             break
-        if not any(_dominates(g, f) for _, g in kept):
-            kept.append((waste, f))
-    return [tuple((s, f.count(s)) for s in dict.fromkeys(f)) for _, f in kept] or [()]
+        kept.append((waste, f))
+    return [tuple((s, f.count(s)) for s in dict.fromkeys(f)) for _, f in kept] or [()], cut
 
 
-def complete(counts: dict[int, int], capacity: int, incumbent: Plan, least: int, nodes: int = NODES) -> Plan:
-    """The best plan found within so many branches; at worst the incumbent."""
+def complete(counts: dict[int, int], capacity: int, incumbent: Plan, least: int, nodes: int = NODES, width: int = WIDTH, steps: int = STEPS) -> tuple[Plan, int, bool]:
+    """The best plan found within so many branches (at worst the incumbent), the branches left, and whether an enumeration was cut."""
+    cut = False
     total = sum(s * n for s, n in counts.items())
     best, best_bins = incumbent, sum(n for _, n in incumbent)
     left, sizes = dict(counts), sorted(counts)
@@ -145,14 +154,16 @@ def complete(counts: dict[int, int], capacity: int, incumbent: Plan, least: int,
                 big = sizes[-1]
                 left[big] -= 1
                 some = sizes if left[big] else sizes[:-1]
-                branches = [(big, f) for f in fillings(left, some, capacity - big)][::-1]
+                some, short = fillings(left, some, capacity - big, width, steps)
+                branches, cut = [(big, f) for f in some][::-1], cut or short
                 left[big] += 1
         if branches:
             big, rest = branches.pop()
             merged = dict(rest)
             merged[big] = merged.get(big, 0) + 1
             filling = tuple(sorted(merged.items(), reverse=True))
-            n = min(left[s] // k for s, k in filling)
+            n = min(left[s] // k for s, k in filling) if steps <= STEPS else 1
+            cut = cut or n > 1  # the same filling as often as it goes
             take(filling, n, 1)
             waste += n * (capacity - sum(s * k for s, k in filling))
             trail.append((branches, big, filling, n))
@@ -163,12 +174,15 @@ def complete(counts: dict[int, int], capacity: int, incumbent: Plan, least: int,
         branches, _, filling, n = trail.pop()
         take(filling, n, -1)
         waste -= n * (capacity - sum(s * k for s, k in filling))
-    return best
+    return best, nodes, cut
 
 
 def pack(counts: dict[int, int], capacity: int, nodes: int = NODES) -> Plan:
     """Fillings that hold every piece of the histogram in as few bins as found."""
     counts = {s: n for s, n in counts.items() if n}
     plan = best_fit(counts, capacity)
-    least = lower_bound(counts, capacity)
-    return plan if sum(n for _, n in plan) <= least else complete(counts, capacity, plan, least, nodes)
+    least, width, steps, cut = lower_bound(counts, capacity), WIDTH, STEPS, True
+    while cut and nodes > 0 and sum(n for _, n in plan) > least:
+        plan, nodes, cut = complete(counts, capacity, plan, least, nodes, width, steps)
+        width, steps = 4 * width, 4 * steps
+    return plan

@@ -35,6 +35,8 @@ CAPACITY, END = 4096, 1
 CACHE, BUCKET = 800_000, 200_000
 #: Signs that the vocabulary never joins to letters before them.
 SIGNS = ".,;:!?#$%&*|"
+#: The last character of those known to stay one letter in lower case.
+LATIN = "\u00ff"
 
 
 class Encoder(dict):
@@ -55,7 +57,8 @@ class Encoder(dict):
         parts = {}
         for w in new:  # letters and the signs after them are tokenised apart, and letters in lower case
             core = w.rstrip(SIGNS)
-            parts[w] = (core.lower() if core.isascii() else core, w[len(core) :]) if core.isalpha() else (w, "")
+            apart = core.isascii() or max(core) <= LATIN  # others may become a letter and a mark, which joins the sign
+            parts[w] = (core.lower() if core.isascii() else core, w[len(core) :]) if apart and core.isalpha() else (w, "")
         self._encode(list({x for p in parts.values() for x in p if x not in self}))
         for w, (a, b) in parts.items():
             self[w] = self[a] + self[b]

@@ -232,6 +232,22 @@ def test_words_are_tokenised_apart():
     assert [np.frombuffer(x, "<u4").tolist() for x in packing.Encoder(path).ids(odd)] == [e.ids for e in direct]
 
 
+def test_words_by_the_tokeniser_itself():
+    """100,000 words of letters of many scripts, signs, marks and digits, as the tokenizer has them in a text."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    r = random.Random(11)
+    letters = "abcxyzABCXYZ" * 3 + "ÀÉÎÕÜßàéîõüÿµªº" + "İıŁłŒœŐő" + "ΑΣας" + "АБвг" + "א漢字あア" + "\u0301\u0307\u200d\u00a0"
+    words = ["".join(r.choice(letters + "0123456789'-" if r.random() < 0.8 else packing.SIGNS) for _ in range(r.randrange(1, 9))) for _ in range(100_000)]
+    words += ["İ!", "xİ.", "éİ,", "İİ;#", "É!", "ÿ?"]
+    texts = [" ".join(words[k : k + 50]) for k in range(0, len(words), 50)]
+    path = public_tokenizers.path("word_bpe_49k.json")
+    direct = Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)
+    got = [np.frombuffer(x, "<u4").tolist() for x in packing.Encoder(path).ids(texts)]
+    assert got == [e.ids for e in direct]
+
+
 def test_bins():
     r = random.Random(1)
 
@@ -253,9 +269,12 @@ def test_bins():
         go(0, [])
         return best
 
-    for _ in range(60):
-        capacity = r.choice([10, 30, 100])
-        items = sorted((r.randint(1, capacity) for _ in range(r.randint(1, 9))), reverse=True)
+    won = 0
+    hard = [(10, [5, 4, 4, 3, 2, 2]), (10, [4, 4, 3, 3, 3, 3]), (100, [45, 35, 35, 30, 20, 20, 15])]
+    hard += [(100, sorted((r.randint(15, 60) for _ in range(10)), reverse=True)) for _ in range(60)]
+    for capacity, items in hard + [(c, sorted((r.randint(1, c) for _ in range(r.randint(1, 9))), reverse=True)) for c in (r.choice([10, 30, 100]) for _ in range(60))]:
+        best = sum(n for _, n in bins.best_fit(dict(collections.Counter(items)), capacity))
+        won += best > least(items, capacity)
         plan = bins.pack(dict(collections.Counter(items)), capacity)
         placed = collections.Counter()
         for filling, n in plan:
@@ -264,6 +283,7 @@ def test_bins():
                 placed[s] += k * n
         assert placed == collections.Counter(items)
         assert sum(n for _, n in plan) == least(items, capacity)
+    assert won  # best fit alone is not enough
 
 
 def test_classifier_held_out(spark, sf_dir):
