@@ -1,10 +1,12 @@
 """HTML extraction by two-pass block rules.
 
-A page is cut into blocks at block-level tags.  The first pass decides a block by
-its place (a menu, footer, form, reader comment ... is out), link density, length
-and density of stop words; short or undecided blocks stay ambiguous.  The second
-pass gives each ambiguous block the label of its nearest decided neighbours.  The
-good blocks' texts, white space made single spaces and references decoded, are
+A page is cut into blocks at block-level tags.  Blocks in menus, footers, forms, reader
+comments ... are marked by their place.  The first pass decides the others by link
+density, length and density of stop words; short or undecided blocks stay ambiguous.
+The second pass gives each ambiguous block the label of its nearest decided neighbours;
+inside a page's main element that element is one more vote.  Outside of it, where there
+is one, all is out.  A class marks by its words, but not one that only tells of a page's
+layout (``LAYOUT``), nor on an element around the main one.  The good blocks' texts, white space made single spaces and references decoded, are
 joined in page order by one line feed.
 
 Defined results
@@ -43,35 +45,43 @@ IMPLIED = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr
 ENDS_P = BLOCK - {"html", "body", "head", "td", "th", "tr"}
 #: Words in class, id or role that mark what surrounds an article.
 AROUND = set(
-    "nav navbar navigation menu breadcrumb breadcrumbs sidebar side aside footer header masthead banner ad ads adv advert adverts advertisement "
-    "sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe "
-    "subscription signup login search form share sharing social related recommended recommendations comment comments commentlist respond replies "
-    "disqus discussion widget pagination pager skip complementary contentinfo dialog".split()
+    "nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead ad ads adv advert adverts advertisement "
+    "sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification alert popup modal newsletter subscribe "
+    "subscription signup login search form share sharing social pagination pager skip complementary contentinfo dialog".split()
 )
+#: Those that do so outside the main element only, and those that do so even around one.
+LOOSE = set("side header banner overlay widget".split())
+READERS = set("related recommended recommendations comment comments commentlist respond replies disqus discussion".split())
+#: What a class begins with that tells what is elsewhere on the page.
+LAYOUT = ("has-", "has_", "with-", "with_", "no-", "no_", "is-", "is_")
 #: Code points from which a block's own figures decide it; link densities above which it is out; stop word densities.
 LONG, VERY_LONG, LINKED, LINKED_SHORT, STOPPED, LITTLE_STOPPED = 70, 200, 0.5, 0.2, 0.12, 0.06
 _STOP = frozenset(STOP_WORDS)
 
 
-def _around(name: str, attributes: str, in_main: bool) -> bool:
-    """Whether an element's content is no main text."""
+def _around(name: str, attributes: str, in_main: bool) -> int:
+    """Whether an element's content is no main text: 2 for certain, 1 unless the main element is in it, 0 not."""
     if name in OUT or name == "header" and not in_main:
-        return True
-    if not attributes or name in ("html", "body", *MAIN):
-        return False
+        return 2
+    if not attributes or name in ("html", "body", *MAIN) and "comment" not in attributes:
+        return 0
+    found = 0
     for key, a, b, c in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), (a or b or c).lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
-            return True
-        if key in ("class", "id", "role") and not AROUND.isdisjoint(re.split(r"[^a-z0-9]+", value)):
-            return True
-    return False
+            return 2
+        if key in ("class", "id", "role") and name not in ("html", "body"):
+            words = {x for t in value.split() if not t.startswith(LAYOUT) for x in re.split(r"[^a-z0-9]+", t)}
+            if not READERS.isdisjoint(words):
+                return 2
+            found = max(found, name not in MAIN and not (AROUND.isdisjoint(words) and (in_main or LOOSE.isdisjoint(words))))
+    return found
 
 
 def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
     """(text, code points inside links, stands in the main element, is out by its place), in page order."""
     found: list[tuple[str, int, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, is out, is main element
+    stack: list[tuple[str, int, bool]] = []  # name, is out, is main element
     parts: list[str] = []
     linked = links = 0
     out = main = 0
@@ -88,7 +98,7 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
         nonlocal out, main, links
         while len(stack) > k:
             name, was_out, was_main = stack.pop()
-            out, main, links = out - was_out, main - was_main, links - (name == "a")
+            out, main, links = out - (was_out > 0), main - was_main, links - (name == "a")
 
     at, end = 0, len(page)
     while at < end:
@@ -143,10 +153,15 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
         is_out, is_main = _around(name, attributes, main > 0), name in MAIN
         if is_out or is_main:
             flush()
+        if is_main and not is_out:  # what is around it was marked for something else
+            for k, (n, o, m) in enumerate(stack):
+                if o == 1:
+                    stack[k], out = (n, 0, m), out - 1
         if name == "a" and links:
             continue
+        is_main = is_main and not out + is_out
         stack.append((name, is_out, is_main))
-        out, main, links = out + is_out, main + is_main, links + (name == "a")
+        out, main, links = out + (is_out > 0), main + is_main, links + (name == "a")
     flush()
     return found
 
@@ -158,33 +173,32 @@ def first_pass(text: str, linked: int, in_main: bool, out: bool, has_main: bool)
         return -1
     if len(text) < LONG:
         return -1 if density > LINKED_SHORT else 0
-    if in_main:
-        return 1
     words = text.lower().split()
     stopped = sum(w.strip(".,;:!?\"'()") in _STOP for w in words) / len(words)
     if stopped >= STOPPED:
         return 1
-    return 0 if stopped >= LITTLE_STOPPED or len(text) >= VERY_LONG else -1 if density > 0 else 0
+    return 0 if in_main or stopped >= LITTLE_STOPPED or len(text) >= VERY_LONG else -1 if density > 0 else 0
 
 
 def main_text(page: str | None) -> str:
     found = blocks(page or "")
     has_main = any(m and not o for _, _, m, o in found)
     label = [first_pass(*b, has_main) for b in found]
+    own = [not o and (m or not has_main) for _, _, m, o in found]  # their figures count, not their place
     final = list(label)
     before, last = [(0, 0)] * len(label), (0, 0)
     for i, x in enumerate(label):  # nearest block on either side that its own figures decide, as (label, place)
-        last = (x, i) if x and not found[i][3] else last
+        last = (x, i) if x and own[i] else last
         before[i] = last
     after, last = [(0, 0)] * len(label), (0, 0)
     for i in range(len(label) - 1, -1, -1):
-        last = (label[i], i) if label[i] and not found[i][3] else last
+        last = (label[i], i) if label[i] and own[i] else last
         after[i] = last
     for i, x in enumerate(label):
         if not x:
             (a, j), (b, k) = before[i], after[i]
-            if found[i][2]:  # in the main element: out-of-place neighbours don't count
-                final[i] = 1
+            if found[i][2]:  # the main element votes too
+                final[i] = 1 if a + b + 1 > 0 else -1
             elif a and b and a != b:
                 final[i] = a if i - j < k - i else b if k - i < i - j else -1
             else:

@@ -306,6 +306,48 @@ def test_html():
     assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<p") == ""
 
 
+def test_html_layouts():
+    """The article is found whatever its wrappers are called; comments and marked parts are not."""
+    art = "<p>" + "The cat and the dog sat on the mat in the house of the family. " * 4 + "</p>"
+    text = html_text.main_text(art)
+    assert text
+    around = "<div class=sidebar><p>Aside of the house and of the family.</p></div>"
+    for page in (
+        f'<div class="layout has-sidebar"><article>{art}</article></div>',
+        f"<div class='content-sidebar-wrap'><main>{art}</main>{around}</div>",
+        f'<article><div class="elementor-widget">{art}</div></article>',
+        f'<article>{art}</article><ol class=commentlist><li><article class="comment-body">{art}</article></ol>',
+    ):
+        assert html_text.main_text(page) == text
+    assert html_text.main_text(f'<article><header class="entry-header"><h1>Title</h1></header>{art}</article>') == "Title\n" + text
+
+
+def test_html_second_pass(spark, sf_dir):
+    """The labels of every page against the rules said plainly, block by block."""
+    for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
+        found = html_text.blocks(r.html or "")
+        has_main = any(m and not o for _, _, m, o in found)
+        label = [html_text.first_pass(*b, has_main) for b in found]
+        own = [i for i, (_, _, m, o) in enumerate(found) if label[i] and not o and (m or not has_main)]
+        kept = []
+        for i, (t, _, m, _) in enumerate(found):
+            x = label[i]
+            if not x:
+                a = max((j for j in own if j < i), default=None)
+                b = min((j for j in own if j > i), default=None)
+                near = sorted((abs(j - i), label[j]) for j in (a, b) if j is not None)
+                votes = sum(v for _, v in near)
+                if m:
+                    x = 1 if votes > -1 else -1
+                elif not near:
+                    x = 1 if len(t) >= html_text.LONG else -1
+                else:
+                    x = near[0][1] if len(near) == 1 or near[0][0] < near[1][0] or near[0][1] == near[1][1] else -1
+            if x > 0:
+                kept.append(t)
+        assert html_text.main_text(r.html) == "\n".join(kept)
+
+
 def test_oracles(spark, sf_dir):
     import duckdb
 
