@@ -32,7 +32,7 @@ from clausewright.llm.scratch import Scratch, pick
 
 CAPACITY, END = 4096, 1
 #: Words whose ids a worker keeps; pieces ranked together.
-CACHE, BUCKET = 800_000, 200_000
+CACHE, BUCKET = 400_000, 200_000
 #: Signs that the vocabulary never joins to letters before them.
 SIGNS = ".,;:!?#$%&*|"
 #: The last character of those known to stay one letter in lower case.
