@@ -220,7 +220,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = rows.select("key", "id", "part", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     rows = rows.select("key", "id", "part", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
     more = work.keep(between(rows.join(sets, "id").select("key", "i", "j", "id", "part", "set"), percent, trees * depth, kind))
-    final = components(links.unionByName(more), work)
+    final = components(first.toDF("a", "b").unionByName(more), work)
     work.drop(parted, sets, links, more)
 
     named = classes.select("f", "g", "id").join(final.withColumnRenamed("node", "id"), "id", "left").select("f", "g", F.coalesce("root", "id").alias("component"))
