@@ -2,7 +2,7 @@
 
 Writer.  One narrow pass finds, per payload digest, the record that the others
 revisit.  Records are then range-partitioned by id into shards of about equal payload
-bytes and sorted: ids are counted in ``CELLS`` cells of equal width, runs of which make
+bytes and sorted: bytes are counted in up to ``CELLS`` cells of equal id width, runs of which make
 a shard.  Shards depend on the rows alone, not on the cluster.  Each task streams its records, one gzip member each, into files that
 roll once their compressed size reaches ``roll_bytes``.  Headers and digests are
 generated from the payload; no clock, host or random number enters a file, so a
@@ -47,8 +47,8 @@ from clausewright.llm.scratch import Scratch, below, pick
 ROLL, SHARD, LEAST = 64 << 20, 16 << 20, 1000
 #: Tasks that read archives, at most.
 READERS = 100_000
-#: Cells of ids whose bytes are counted, at most.
-CELLS = 100_000
+#: Cells of ids whose bytes are counted: at most, and for a shard.
+CELLS, CELLS_A_SHARD = 100_000, 8
 #: Payloads found twice or more up to which their list is broadcast (about 60 bytes each).
 BROADCAST_PAYLOADS = 500_000
 DATE = "2024-01-01T00:00:00Z"
@@ -128,12 +128,12 @@ def write(pages: DataFrame, uri: str, id_col: str = "page_id", url_col: str = "u
     twice = work.keep(narrow.where(F.col("n") >= least).groupBy("sha").agg(F.count("*").alias("copies"), F.max("id").alias("target")).where("copies > 1").select("sha", "target"))
     spread = narrow.agg(F.min("id").alias("low"), F.max("id").alias("high"), F.sum("n").alias("bytes")).first()
     low, high, total = spread["low"] or 0, spread["high"] or 0, spread["bytes"] or 0
-    width = max(1, -(-(high - low + 1) // CELLS))
+    shards = max(1, -(-total // shard_bytes))
+    width = max(1, -(-(high - low + 1) // min(CELLS, CELLS_A_SHARD * shards)))
     cell = F.coalesce(F.floor((F.col("id") - F.lit(low)) / F.lit(width)).cast("int"), F.lit(0))
     sums = narrow.groupBy(cell.alias("cell")).agg(F.sum("n").alias("bytes"))  # at most CELLS rows
     ends = F.sum("bytes").over(Window.orderBy("cell")) - F.col("bytes")
     shard_of = work.keep(sums.select("cell", F.floor(ends / F.lit(shard_bytes)).cast("int").alias("shard")))
-    shards = max(1, -(-total // shard_bytes))
     rows = base.join(F.broadcast(twice) if below(twice, BROADCAST_PAYLOADS) else twice, "sha", "left")
     rows = rows.withColumn("cell", cell).join(F.broadcast(shard_of), "cell").select("shard", "id", "url", "payload", F.when(F.col("target") != F.coalesce("id", F.lit(-(2**63))), F.col("target")).alias("refers_to"), "sha")
     rows = rows.repartitionByRange(min(shards, 1_000_000), "shard").sortWithinPartitions("shard", "id", "url", "sha").drop("sha")
