@@ -7,7 +7,7 @@ runs of ranks to sequences; a piece's rank among those of its length is counted
 hash bucket with a running total over buckets, so that no task holds all pieces of a
 common length.
 
-A worker keeps ids of words it has met, up to ``CACHE``: the vocabulary's pieces
+A worker keeps ids of words it has met, about ``CACHE`` in two generations: the vocabulary's pieces
 never cross white space, so a text's ids are its words' ids in a row.
 
 Defined results
@@ -20,7 +20,7 @@ Defined results
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,7 @@ from clausewright.llm.scratch import Scratch, pick
 
 CAPACITY, END = 4096, 1
 #: Words whose ids a worker keeps; pieces ranked together.
-CACHE, BUCKET = 400_000, 200_000
+CACHE, BUCKET = 600_000, 200_000
 #: Signs that the vocabulary never joins to letters before them.
 SIGNS = ".,;:!?#$%&*|"
 #: The last character of those known to stay one letter in lower case.
@@ -45,21 +45,33 @@ class Encoder(dict):
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.old = Tokenizer.from_file(path), {}
         super().__init__({"": b""})
 
+    def missing(self, words: Iterable[str]) -> list[str]:
+        """Words met neither in this generation nor in the one before, whose ids are taken over."""
+        out = []
+        for w in words:
+            if w not in self:
+                found = self.old.get(w)
+                if found is None:
+                    out.append(w)
+                else:
+                    self[w] = found
+        return out
+
     def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self]
-        if len(self) + len(new) > CACHE:
+        if len(self) > CACHE // 2:
+            self.old = dict(self)
             self.clear()
             self[""] = b""
-            new = [w for w in words if w]
+        new = self.missing(words)
         parts = {}
         for w in new:  # letters and the signs after them are tokenised apart, and letters in lower case
             core = w.rstrip(SIGNS)
             apart = core.isascii() or max(core) <= LATIN  # others may become a letter and a mark, which joins the sign
             parts[w] = (core.lower() if core.isascii() else core, w[len(core) :]) if apart and core.isalpha() else (w, "")
-        self._encode(list({x for p in parts.values() for x in p if x not in self}))
+        self._encode(self.missing({x for p in parts.values() for x in p}))
         for w, (a, b) in parts.items():
             self[w] = self[a] + self[b]
 
