@@ -5,21 +5,28 @@ of its ``gram``-word grams with the smallest hash, so equal windows have equal
 anchors.  The windows that share an anchor occurrence form a *reference block*: a
 run of 1 to ``window - gram + 1`` starts, whose hash covers all its words.
 
+The *reference* is every distinct block, indexed at its first occurrence (least id, then place).
+
 1. anchors     Grams that occur once in the corpus decide their windows: nothing to
                find.  One narrow aggregate over the anchors, a seventh of all words.
-2. factors     Blocks with a repeated anchor are looked up in the index of all such
-               blocks.  One that has an earlier occurrence is a factor: all of it
-               is a duplicate span.
-3. boundaries  What is left are first occurrences, mostly the blocks at the ends of
-               copied passages, whose extent depends on what stands beside them.
+2. index       Blocks with a repeated anchor are looked up in the reference.  All but
+               a block's first occurrence get the place they repeat.
+3. boundaries  Where a factor may end lie blocks that repeat nothing as a whole: they
+               hold the ends of copied passages, and passages shorter than a block.
                These are looked up window by window among themselves; as a block's
                later copies repeat its windows, that finds every earlier start.
+4. factors     Each document is parsed greedily from its first word on: a factor starts
+               at the next start with a place in the reference and goes on, over blocks
+               and the windows at their borders, as long as the reference goes on with
+               the same words from the same place.  A factor has ``window`` words or
+               more, and is a duplicate span.
 
-Spans are the union of both, so a word is removed exactly if a window that covers
+Spans are the union of all factors, so a word is removed exactly if a window that covers
 it also starts earlier.  A block's key has 128 bits (its own and
 its anchor's hash), a window's 96.  Shuffles carry hashes and positions, counted before they are joined
 back, and no text: lists of positions go to the texts, by broadcast while they are
-small and by a join on the id beyond.  Text is read three times instead.
+small and by a join on the id beyond.  Text is read three times instead.  Keys of
+``HOT`` rows or more are joined by broadcast: there is one for every ``HOT`` rows at most.
 
 Defined results
 * null and empty texts have no words; so do texts of white space only;
@@ -36,7 +43,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausewright.llm import textvec
@@ -45,6 +52,8 @@ from clausewright.llm.scratch import Scratch, pick, text_or_empty
 WINDOW, GRAM = 20, 8
 #: Bytes of position lists up to which they are broadcast.
 BROADCAST_BYTES = 48 << 20
+#: Rows of a key from which it is joined apart, and such keys up to which they are broadcast.
+HOT, BROADCAST_KEYS = 100_000, 100_000
 #: Sorted spans that touch or overlap made one.
 MERGED = (
     "aggregate(spans, cast(array() as array<struct<lo:int,hi:int>>), (got, x) -> case when size(got) = 0 or x.lo > element_at(got, -1).hi then concat(got, array(x))"
@@ -122,14 +131,34 @@ def _attach(base: DataFrame, lists: DataFrame, values: str, how: str, limit: int
     return base.join(F.broadcast(lists) if size <= limit else lists, "id", how).select(*base.columns, values)
 
 
-def _repeated(rows: DataFrame, key: list[str]) -> DataFrame:
-    """``rows`` (id, lo, ...) with ``first``, the least (id, lo) of their key, where the key occurs twice or more."""
-    firsts = rows.groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct("id", "lo")).alias("first")).where("n > 1").drop("n")
-    return rows.join(firsts, key)
+def _meet(rows: DataFrame, keys: DataFrame, key: list[str], work: Scratch, hot: int) -> DataFrame:
+    """``rows`` joined with ``keys`` (key, n, ...) without ``n``; keys of ``hot`` rows or more don't go to one task."""
+    keys = work.keep(keys)
+    some = keys.where(F.col("n") >= hot).drop("n")
+    if not 0 < some.count() <= BROADCAST_KEYS:
+        return rows.join(keys.drop("n"), key)
+    rest = rows.join(F.broadcast(some.select(*key)), key, "left_anti").join(keys.where(F.col("n") < hot).drop("n"), key)
+    return rest.unionByName(rows.join(F.broadcast(some), key))
+
+
+def _repeated(rows: DataFrame, key: list[str], work: Scratch, hot: int) -> DataFrame:
+    """``id, lo, n, ref, ref_lo``: ``rows`` whose key also occurs earlier, with the least (id, lo) of their key."""
+    firsts = rows.groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct("id", "lo")).alias("first")).where("n > 1")
+    found = _meet(rows.withColumnRenamed("n", "starts"), firsts, key, work, hot).where(F.struct("id", "lo") != F.col("first"))
+    return found.select("id", "lo", F.col("starts").alias("n"), F.col("first.id").alias("ref"), F.col("first.lo").alias("ref_lo"))
+
 
+def _parse(found: DataFrame) -> DataFrame:
+    """Greedy factors of runs of starts: rows that follow each other in their document and in the reference made one."""
+    rows = found.repartition("id").dropDuplicates(["id", "lo"])
+    order = Window.partitionBy("id").orderBy("lo")
+    goes_on = F.lag(F.struct(F.col("lo") + F.col("n"), "ref", F.col("ref_lo") + F.col("n"))).over(order).eqNullSafe(F.struct("lo", "ref", "ref_lo"))
+    rows = rows.withColumn("new", F.when(goes_on, 0).otherwise(1)).withColumn("factor", F.sum("new").over(order))
+    return rows.groupBy("id", "factor").agg(F.min("lo").alias("lo"), F.sum("n").cast("int").alias("n"), F.min(F.struct("lo", "ref", "ref_lo")).alias("at")).select("id", "lo", "n", "at.ref", "at.ref_lo")
 
-def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """``id, spans``: per document with any, the word ranges [lo, hi) covered by windows that start earlier elsewhere."""
+
+def factors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, broadcast_bytes: int = BROADCAST_BYTES, hot: int = HOT) -> DataFrame:
+    """``id, lo, hi, ref, ref_lo``: the words [lo, hi) of a document that repeat those from ``ref_lo`` on of document ``ref``, an earlier start."""
     work = Scratch(docs.sparkSession, "substring-dedup")
     base = pick(docs, id=id_col, text=text_col).where("id IS NOT NULL").select("id", text_or_empty().alias("text"))
 
@@ -138,10 +167,10 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return text, x.grams[x.anchor].view(np.int64), x.spans(x.lo, x.count + x.window - 1)[0], (x.lo - x.at[text]).astype(np.int32), x.count.astype(np.int32)
 
     every = work.keep(_scan(base, "anchor long, h long, lo int, n int", blocks, window, gram))
-    twice = every.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1").select("anchor")
-    found = work.keep(every.join(twice, "anchor"))
+    twice = every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
+    found = work.keep(_meet(every, twice, ["anchor"], work, hot))
     work.drop(every)
-    repeated = work.keep(_repeated(found, ["anchor", "h"]).where(F.struct("id", "lo") != F.col("first")).select("id", "lo", (F.col("lo") + F.col("n") + F.lit(window - 1)).alias("hi")))
+    repeated = work.keep(_repeated(found, ["anchor", "h"], work, hot))
     later = repeated.select("id", "lo").distinct()
     left = work.keep(found.join(later, ["id", "lo"], "left_anti").groupBy("id").agg(F.collect_set("lo").alias("places")))
 
@@ -154,10 +183,17 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     single = work.keep(_scan(_attach(base, left, "places", "inner", broadcast_bytes), "lo int, h long, c int", windows, window, gram))
     work.drop(found, left)
-    more = _repeated(single, ["h", "c"]).where(F.struct("id", "lo") != F.col("first")).select("id", "lo", (F.col("lo") + F.lit(window)).alias("hi"))
-    spans = work.keep(repeated.unionByName(more).groupBy("id").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("spans")).select("id", F.expr(MERGED).alias("spans")))
+    more = _repeated(single.withColumn("n", F.lit(1)), ["h", "c"], work, hot)
+    found = work.keep(_parse(repeated.unionByName(more)).select("id", "lo", (F.col("lo") + F.col("n") + F.lit(window - 1)).alias("hi"), "ref", "ref_lo"))
     work.drop(repeated, single)
-    return spans
+    return found
+
+
+def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, broadcast_bytes: int = BROADCAST_BYTES, hot: int = HOT) -> DataFrame:
+    """``id, spans``: per document with any, the word ranges [lo, hi) that its factors cover."""
+    found = factors(docs, id_col, text_col, window, gram, broadcast_bytes, hot)
+    spans = found.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("spans")).select("id", F.expr(MERGED).alias("spans"))
+    return Scratch(docs.sparkSession, "substring-spans").keep(spans)
 
 
 def removed(base: DataFrame, spans: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:

@@ -122,6 +122,20 @@ def test_substring(spark, sf_dir, docs):
     assert sorted(map(str, joined.collect())) == sorted(map(str, plain.collect()))
 
 
+def test_substring_factors(spark, sf_dir, docs):
+    """Each factor repeats its reference's words, an earlier start, and no factor goes on where the one before it ends."""
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    found = substring_dedup.factors(table).collect()
+    words = {i: WORD.findall(t) for i, t in docs.items()}
+    assert found
+    for f in found:
+        assert f.hi - f.lo >= 20 and (f.ref, f.ref_lo) < (f.id, f.lo)
+        assert words[f.id][f.lo : f.hi] == words[f.ref][f.ref_lo : f.ref_lo + f.hi - f.lo]
+    ends = {(f.id, f.hi - 19, f.ref, f.ref_lo + f.hi - f.lo - 19) for f in found}
+    assert not ends & {(f.id, f.lo, f.ref, f.ref_lo) for f in found}
+    assert sorted(found) == sorted(substring_dedup.factors(table, hot=2).collect())
+
+
 def test_substring_overlaps(spark):
     r = random.Random(3)
     words = ["a", "b"]
