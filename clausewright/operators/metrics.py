@@ -56,17 +56,37 @@ def _curve(df: DataFrame, gold: Column, score: Column) -> DataFrame:
     return df.select(gold.cast("int").alias("y"), score.cast("double").alias("s")).groupBy("s").agg(F.sum("y").alias("pos"), F.count("*").alias("n")).withColumn("neg", F.col("n") - F.col("pos"))
 
 
+#: Ranges that a global order is cut into.
+RANGES = 64
+
+
+def running(df: DataFrame, order: str, sums: dict[str, str], descending: bool = False, inclusive: bool = True) -> DataFrame:
+    """``df`` with running totals ``sums[new] = column`` in the order of ``order``, rows of equal values together.
+
+    Rows are cut into ranges by quantiles, summed within each and moved on by the totals of the ranges before: no task
+    sorts all rows.  ``order`` should hold few rows of one value (count them first).
+    """
+    bounds = df.agg(F.percentile_approx(order, F.array(*[F.lit(k / RANGES) for k in range(1, RANGES)]), F.lit(1000)).alias("b")).scalar()
+    ranged = df.withColumn("_bounds", bounds).withColumn("_range", F.coalesce(F.size(F.filter("_bounds", lambda b: b < F.col(order))), F.lit(0))).drop("_bounds")
+    way = F.desc if descending else F.asc
+    inner = Window.partitionBy("_range").orderBy(way(order))
+    inner = inner if inclusive else inner.rowsBetween(Window.unboundedPreceding, -1)
+    outer = Window.orderBy(way("_range")).rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    totals = ranged.groupBy("_range").agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
+    before = totals.select("_range", *[F.coalesce(F.sum(f"_{n}").over(outer), F.lit(0)).alias(f"_{n}") for n in sums])
+    within = ranged.select("*", *[F.coalesce(F.sum(c).over(inner), F.lit(0)).alias(n) for n, c in sums.items()]).join(F.broadcast(before), "_range")
+    return within.select(*df.columns, *[(F.col(n) + F.col(f"_{n}")).alias(n) for n in sums])
+
+
 def auroc(df: DataFrame, gold: Column, score: Column, digits: int = 6) -> DataFrame:
     """By average ranks; ties count half."""
-    w = Window.orderBy("s")
-    c = _curve(df, gold, score).withColumn("below", F.coalesce(F.sum("neg").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    c = running(_curve(df, gold, score), "s", {"below": "neg"}, inclusive=False)
     return c.agg(F.round(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)) / (F.sum("pos") * F.sum("neg")), digits).alias("auroc"), F.sum("pos").alias("n_positive"), F.sum("neg").alias("n_negative"))
 
 
 def average_precision(df: DataFrame, gold: Column, score: Column, digits: int = 6) -> DataFrame:
     """The sum over distinct scores of recall gained times precision."""
-    w = Window.orderBy(F.desc("s"))
-    c = _curve(df, gold, score).withColumn("tp", F.sum("pos").over(w)).withColumn("k", F.sum("n").over(w))
+    c = running(_curve(df, gold, score), "s", {"tp": "pos", "k": "n"}, descending=True)
     return c.agg(F.round(F.sum(F.col("pos") * F.col("tp") / F.col("k")) / F.sum("pos"), digits).alias("average_precision"))
 
 
@@ -161,8 +181,8 @@ def mcnemar(df: DataFrame, gold: Column, a: Column, b: Column, digits: int = 6)
 def average_rank(df: DataFrame, value: str, out: str) -> DataFrame:
     """Ranks from 1, ties sharing their mean: counts per distinct value first."""
     c = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_c"))
-    before = F.coalesce(F.sum("_c").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return df.join(c.select(value, (before + (F.col("_c") + 1) / 2).alias(out)), value)
+    c = running(c, value, {"_before": "_c"}, inclusive=False)
+    return df.join(c.select(value, (F.col("_before") + (F.col("_c") + 1) / 2).alias(out)), value)
 
 
 def correlations(df: DataFrame, x: str, y: str, digits: int = 6) -> DataFrame:

@@ -8,6 +8,8 @@ part before the exchange (``WindowGroupLimit``), and never shuffles the corpus.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,15 +48,25 @@ def ranked(df: DataFrame, by: list[str], score: str, tie: str, rank: str = "rank
 def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, vector: str = "embedding", qid: str = "q_id", did: str = "vec_id", similarity: str = "cosine", digits: int = 6) -> DataFrame:
     """``q_id, vec_id, score, rank`` of each query's k nearest, itself left out if ids agree.
 
-    The corpus comes already filtered by payload.  Query vectors are a stated set; a set above
-    ``QUERY_BLOCK`` raises, to be cut into blocks by the caller.
+    The corpus comes already filtered by payload.  Queries are broadcast ``QUERY_BLOCK`` at a time, so that any
+    number of them is searched; norms are taken once a row, not once a pair.
     """
-    if queries.limit(QUERY_BLOCK + 1).count() > QUERY_BLOCK:
-        raise ValueError(f"more than {QUERY_BLOCK} queries: search them in blocks")
-    q = F.broadcast(queries.select(qid, F.col(vector).alias("_q")))
-    pairs = corpus.select(did, vector).join(q, F.col(qid) != F.col(did))
-    scored = pairs.select(qid, did, F.round(metric(similarity)(F.col("_q"), F.col(vector)), digits).alias("score"))
-    return ranked(scored, [qid], "score", did, k=k)
+    q, c = queries.select(qid, F.col(vector).alias("_q")), corpus.select(did, F.col(vector).alias("_c"))
+    score = metric(similarity)(F.col("_q"), F.col("_c"))
+    if similarity == "cosine":
+        q, c = q.withColumn("_nq", norm(F.col("_q"))), c.withColumn("_nc", norm(F.col("_c")))
+        n = F.col("_nq") * F.col("_nc")
+        score = F.when((F.size("_q") == F.size("_c")) & (n > 0), dot(F.col("_q"), F.col("_c")) / n).otherwise(0.0)
+
+    def search(block: DataFrame) -> DataFrame:
+        scored = c.join(F.broadcast(block), F.col(qid) != F.col(did)).select(qid, did, F.round(score, digits).alias("score"))
+        return ranked(scored, [qid], "score", did, k=k)
+
+    blocks = -(-q.count() // QUERY_BLOCK)
+    if blocks <= 1:
+        return search(q)
+    at = F.pmod(F.xxhash64(qid), F.lit(blocks))
+    return reduce(DataFrame.unionByName, [search(q.where(at == b)) for b in range(blocks)])
 
 
 def postings(docs: DataFrame, did: str, text_col: str = "text", kind: str = "alnum", grams: int = 1) -> DataFrame:
@@ -123,9 +135,14 @@ def hashing_vector(c: Column | str, dims: int = 768, kind: str = "alnum") -> Col
     return F.map_from_entries(F.transform(counts, lambda x: F.struct(x["k"], x["v"] / length)))
 
 
-def rrf_full(ranks: DataFrame, by: list[str], left: str, right: str, k: int = 60) -> DataFrame:
-    """Over rows that have both ranks (from 0): 1 / (k + rank), summed."""
-    return ranks.withColumn("rrf", 1.0 / (k + F.col(left)) + 1.0 / (k + F.col(right)))
+def rrf_full(scores: DataFrame, by: list[str], left: str, right: str, tie: str, k: int = 60) -> DataFrame:
+    """Every row ranked by both scores of its group (``by``), from 0; ``rrf`` is the sum of 1 / (k + rank).
+
+    Ties go to the smaller ``tie``.  Groups are one query's scores of the corpus: keep them to the rows that have a score.
+    """
+    place = lambda score: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(score), F.asc(tie))) - 1
+    ranks = scores.withColumn("rank_left", place(left)).withColumn("rank_right", place(right))
+    return ranks.withColumn("rrf", 1.0 / (k + F.col("rank_left")) + 1.0 / (k + F.col("rank_right")))
 
 
 def rrf_merge(a: DataFrame, b: DataFrame, by: list[str], k: int = 60, digits: int = 9) -> DataFrame:

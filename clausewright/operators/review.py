@@ -71,9 +71,9 @@ def verify_citations(citations: DataFrame, sources: DataFrame, answer: str, sour
     """Citations whose quote stands in the source named, in the source's words, once each, the first ``cap`` per answer."""
     j = citations.join(sources.select(source, F.col("text").alias("_text")), source).withColumn("verified_quote", source_quote(F.col("_text"), F.col(quote)))
     ok = j.where("verified_quote IS NOT NULL").drop("_text")
-    w = Window.partitionBy(answer, source, F.lower("verified_quote")).orderBy("position")
+    w = Window.partitionBy(answer, source, F.lower("verified_quote")).orderBy("position", "verified_quote", quote)
     ok = ok.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
-    return ok.withColumn("place", F.row_number().over(Window.partitionBy(answer).orderBy("position"))).where(F.col("place") <= cap)
+    return ok.withColumn("place", F.row_number().over(Window.partitionBy(answer).orderBy("position", source, "verified_quote"))).where(F.col("place") <= cap)
 
 
 def unverified(citations: DataFrame, verified: DataFrame, answer: str, key: list[str]) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,16 +40,34 @@ def replace_keys(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     return old.join(drop, same, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
-def upsert_vectors(df: DataFrame, path: str, partition: str | None = None) -> int:
-    """Write and count what a reader finds; a different number raises."""
-    writer = df.write.mode("overwrite")
-    (writer.partitionBy(partition) if partition else writer).parquet(path)
-    n, want = df.sparkSession.read.parquet(path).count(), df.count()
+def upsert_vectors(df: DataFrame, path: str, key: list[str], partition: str | None = None) -> int:
+    """The table's rows of other keys and the new ones, as a version of its own below ``path``; the number of rows that a reader finds.
+
+    ``current`` names the newest version and is written last, so a run that fails leaves the table as it was.  A number
+    of rows other than those written raises.  Rows that repeat a key are all kept.
+    """
+    spark = df.sparkSession
+    old = vectors(spark, path)
+    rows = (df if old is None else replace_keys(old, df, key))
+    seen = Observation()
+    version = f"{path}/{uuid.uuid4().hex}"
+    writer = rows.observe(seen, F.count("*").alias("n")).write
+    (writer.partitionBy(partition) if partition else writer).parquet(version)
+    n, want = spark.read.parquet(version).count(), seen.get["n"]
     if n != want:
-        raise ValueError(f"{path} holds {n} of {want} rows")
+        raise ValueError(f"{version} holds {n} of {want} rows")
+    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").json(f"{path}/current")
     return n
 
 
+def vectors(spark: SparkSession, path: str) -> DataFrame | None:
+    """The newest version of a table of ``upsert_vectors``; None if there is none."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/current/_SUCCESS")
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return None
+    return spark.read.parquet(spark.read.schema("version string").json(f"{path}/current").first()["version"])
+
+
 def chat_rows(df: DataFrame, system: str, user: str, assistant: str) -> DataFrame:
     """``messages`` of one system, user and assistant turn each."""
     turn = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))

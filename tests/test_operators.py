@@ -190,7 +190,12 @@ def test_sinks(spark, tmp_path):
     assert rows(sinks.flat(df, {"p": ("m", "k")})) == [(1, '["a"]', '{"k":"v"}', "v")]
     sinks.csv(df.select("id", "l"), str(tmp_path / "c"), ["l", "id"])
     assert spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "c")).columns == ["l", "id"]
-    assert sinks.upsert_vectors(df.select("id"), str(tmp_path / "v")) == 1
+    where = str(tmp_path / "v")
+    assert sinks.vectors(spark, where) is None
+    first = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
+    assert sinks.upsert_vectors(first, where, ["id"]) == 2
+    assert sinks.upsert_vectors(spark.createDataFrame([(2, "c"), (3, "d")], "id int, v string"), where, ["id"]) == 3
+    assert sorted(map(tuple, sinks.vectors(spark, where).collect())) == [(1, "a"), (2, "c"), (3, "d")]
     assert [m.role for m in sinks.chat_rows(spark.createDataFrame([("q", "a")], "u string, s string"), "sys", "u", "s").first().messages] == ["system", "user", "assistant"]
     got = sinks.replace_keys(spark.createDataFrame([(1, "a"), (None, "b"), (2, "c")], "k int, v string"), spark.createDataFrame([(None, "x"), (2, "y")], "k int, v string"), ["k"])
     assert set(rows(got)) == {(1, "a"), (None, "x"), (2, "y")}
@@ -210,3 +215,29 @@ def test_stream(spark, sf_dir, tmp_path):
     q.awaitTermination(120)
     assert spark.table("w").agg(F.sum("n")).first()[0] == events.count()
     assert trace.with_retry(lambda: 1 / 0, 2, lambda k: 0, default="d", closed=False)() == "d"
+
+
+def test_running(spark):
+    df = spark.createDataFrame([(float(k % 97) if k % 97 else None, k) for k in range(97)], "s double, n long")
+    for down in (False, True):
+        rows = sorted(df.collect(), key=lambda r: (r.s is not None, r.s or 0.0), reverse=down)
+        want, total = {}, 0
+        for r in rows:
+            total += r.n
+            want[r.n] = (total, total - r.n)
+        got = metrics.running(metrics.running(df, "s", {"a": "n"}, down), "s", {"b": "n"}, down, inclusive=False).collect()
+        assert {r.n: (r.a, r.b) for r in got} == want
+
+
+def test_dense_topk_in_blocks(spark, monkeypatch):
+    rows = spark.createDataFrame([(k, [float(k), 1.0, -float(k % 3)]) for k in range(12)], "vec_id long, embedding array<double>")
+    queries = rows.toDF("q_id", "embedding")
+    whole = sorted(map(tuple, retrieval.dense_topk(queries, rows, 3).collect()))
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 5)
+    assert sorted(map(tuple, retrieval.dense_topk(queries, rows, 3).collect())) == whole
+
+
+def test_rrf_full(spark):
+    rows = spark.createDataFrame([("q", 1, 0.9, 0.1), ("q", 2, 0.5, 0.5), ("q", 3, 0.5, 0.2)], "q string, id int, a double, b double")
+    got = {r.id: (r.rank_left, r.rank_right, r.rrf) for r in retrieval.rrf_full(rows, ["q"], "a", "b", "id").collect()}
+    assert got == {1: (0, 2, 1 / 60 + 1 / 62), 2: (1, 0, 1 / 61 + 1 / 60), 3: (2, 1, 1 / 62 + 1 / 61)}
