@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clausewright.plans import relational_queries, retrieval_queries, text_queries
+from clausewright.plans import operator_queries, relational_queries, retrieval_queries, text_queries
 from clausewright.shipping import ship
 
-MODULES = [text_queries, retrieval_queries, relational_queries]
+MODULES = [text_queries, retrieval_queries, relational_queries, operator_queries]
 
 
 def _shipped(f: Callable) -> Callable:

@@ -68,7 +68,7 @@ def vectors(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.parquet(spark.read.schema("version string").json(f"{path}/current").first()["version"])
 
 
-def chat_rows(df: DataFrame, system: str, user: str, assistant: str) -> DataFrame:
-    """``messages`` of one system, user and assistant turn each."""
+def chat_rows(df: DataFrame, system: str, user: str, assistant: str, keep: list[str] | None = None) -> DataFrame:
+    """``messages`` of one system, user and assistant turn each, beside the columns to ``keep``."""
     turn = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))
-    return df.select(F.array(turn("system", F.lit(system)), turn("user", F.col(user)), turn("assistant", F.col(assistant))).alias("messages"))
+    return df.select(*(keep or []), F.array(turn("system", F.lit(system)), turn("user", F.col(user)), turn("assistant", F.col(assistant))).alias("messages"))
