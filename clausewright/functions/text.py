@@ -269,19 +269,44 @@ def clause_structure(c: Column | str, duties: int = 12, exceptions: int = 10) ->
     )
 
 
-METADATA = {
-    "parties": r"(?is)\bbetween\s+(.{2,120}?)\s+and\s+(.{2,120}?)(?:[.;(]|$)",
-    "effective_date": r"(?is)\beffective\s+(?:date|as of)[^0-9A-Za-z]{0,20}(?:is\s+)?([A-Za-z]+ \d{1,2},? \d{4}|\d{4}-\d{2}-\d{2})",
-    "governing_law": r"(?is)\bgoverned by (?:the )?laws? of (?:the )?(?:state of )?([A-Z][A-Za-z ]{2,40})",
-    "forum": r"(?is)\bcourts? (?:of|in|located in) ([A-Z][A-Za-z ]{2,40})",
+#: A date in figures or with its month's name.
+DATE = r"(?:\d{4}-\d{2}-\d{2}|\d{1,2}[./]\d{1,2}[./]\d{2,4}|[A-Za-z]{3,9}\.? \d{1,2}(?:st|nd|rd|th)?,? \d{4}|\d{1,2}(?:st|nd|rd|th)? (?:day of )?[A-Za-z]{3,9}\.?,? \d{4})"
+#: Per field the patterns in order of precedence; group 1 is the value.
+METADATA: dict[str, tuple[str, ...]] = {
+    "agreement_date": (rf"(?is)\b(?:agreement date|date of this agreement|dated as of|agreement is dated|agreement dated)\s*[:-]?\s*({DATE})", rf"(?is)\bagreement (?:is |was )?(?:made|entered into)(?: as of| on)\s+({DATE})"),
+    "effective_date": (rf"(?is)\b(?:effective date|effective as of|commencement date)\s*(?:is|[:-])?\s*({DATE})",),
+    "expiration_date": (rf"(?is)\b(?:expiration date|expiry date|expires? on|end date)\s*(?:is|[:-])?\s*({DATE})",),
+    "governing_law": (r"(?is)\bgoverned by(?: and construed in accordance with)?\s+(?:the laws? of\s+)?(?:the )?(?:state of )?([^.;\n]{2,120})",),
+    "forum": (r"(?is)\bjurisdiction of\s+(?:the )?([^.;\n]{3,160})", r"(?is)\bdisputes? (?:shall be |will be )?(?:brought|heard|resolved|settled) in\s+([^.;\n]{3,160})", r"(?is)\bcourts? (?:of|in|located in) ([^.;\n]{3,160})"),
 }
+#: Wordings that stand in for a date: the field they are given if that date is missing.
+CONDITIONS = {
+    "effective_date": ("effective_date_condition", r"(?is)([^.;\n]{0,100}(?:takes? effect|effective)\s+upon\s+[^.;\n]{3,180})"),
+    "expiration_date": ("expiration_terms", r"(?is)([^.;\n]{0,120}(?:for an indefinite term|continues? indefinitely)[^.;\n]{0,100})"),
+}
+#: Two names each: labelled sides first, then an opening's wording.
+PARTIES = (
+    r"(?is)\bparty\s+a\s*(?:\([^)]*\))?\s*:\s*([^\r\n]{1,180}?)(?:\s+address\s*:[^\r\n]*)?\s+party\s+b\s*(?:\([^)]*\))?\s*:\s*([^\r\n]{1,180}?)(?=\s+address\s*:|[\r\n]|$)",
+    r"(?is)\bbetween\s+(.{2,160}?)\s+and\s+(.{2,160}?)(?:[.,;(\n]|\s+as of\b|$)",
+)
+
 
+def metadata(c: Column | str, patterns: dict[str, tuple[str, ...]] = METADATA, conditions: dict[str, tuple[str, str]] = CONDITIONS, parties: tuple[str, ...] = PARTIES) -> Column:
+    """Per field the captured value and its evidence, null where nothing matches; the parties are an array of two names.
 
-def metadata(c: Column | str, patterns: dict[str, str] = METADATA) -> Column:
-    """Per field the captured value and its evidence, null where nothing matches."""
+    A condition is given only where its date is missing.
+    """
     t = text(c)
-    field = lambda p: F.struct(F.nullif(F.trim(F.regexp_extract(t, p, 1)), F.lit("")).alias("value"), F.nullif(F.regexp_extract(t, p, 0), F.lit("")).alias("evidence"))
-    return F.struct(*[field(p).alias(k) for k, p in patterns.items()])
+    edges = lambda v: F.nullif(F.regexp_replace(F.regexp_replace(v, r"\s+", " "), r"^[ :;,.\"()]+|[ :;,.\"()]+$", ""), F.lit(""))
+    said = lambda p: F.nullif(F.trim(F.regexp_extract(t, p, 0)), F.lit(""))
+    value = {k: F.coalesce(*[edges(F.regexp_extract(t, p, 1)) for p in ps]) for k, ps in patterns.items()}
+    fields = {k: F.struct(value[k].alias("value"), F.coalesce(*[said(p) for p in ps]).alias("evidence")) for k, ps in patterns.items()}
+    for date, (name, p) in conditions.items():
+        lacks = value[date].isNull() if date in value else F.lit(True)
+        fields[name] = F.struct(F.when(lacks, edges(F.regexp_extract(t, p, 1))).alias("value"), F.when(lacks, said(p)).alias("evidence"))
+    two = [F.when(said(p).isNotNull(), F.struct(F.array(edges(F.regexp_extract(t, p, 1)), edges(F.regexp_extract(t, p, 2))).alias("value"), said(p).alias("evidence"))) for p in parties]
+    nobody = F.struct(F.lit(None).cast("array<string>").alias("value"), F.lit(None).cast("string").alias("evidence"))
+    return F.struct(F.coalesce(*two, nobody).alias("parties"), *[f.alias(k) for k, f in fields.items()])
 
 
 # --- lookups ------------------------------------------------------------------

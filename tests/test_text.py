@@ -49,7 +49,7 @@ def test_extraction(one):
     s = one("The supplier shall pay under Section 3. Unless Schedule A says so, \"Fee\" is due.", T.clause_structure)
     assert s.sections == ["Section 3"] and s.documents == ["Schedule A"] and s.terms == ["Fee"] and len(s.duties) == 1 and len(s.exceptions) == 1 and s.role == "obligation"
     m = one("This is between Alpha Ltd and Beta Inc. It is governed by the laws of France.", T.metadata)
-    assert m.parties.value == "Alpha Ltd" and m.governing_law.value == "France" and m.forum.value is None
+    assert m.parties.value == ["Alpha Ltd", "Beta Inc"] and m.governing_law.value == "France" and m.forum.value is None
     assert one("a. B c? D", lambda c: F.size(T.sentences(c))) == 3
 
 
@@ -117,3 +117,15 @@ def test_models(spark):
     assert all(abs(sum(v * v for v in r.embedding.values()) - 1) < 1e-9 for r in got)
     asked = models.ask(df, models.prompt("Say", ("text", F.col("t"))), models.StubModel(["YES", "NO"])).collect()
     assert len(asked) == 3 and {r.answer for r in asked} <= {"YES", "NO"} and models.passes(df, 3).count() == 9
+
+
+def test_contract_metadata(one):
+    m = one("Party A (Buyer): Alpha Ltd Address: 1 Road\nParty B: Beta Inc\nThis Agreement is dated 3 May 2021. It takes effect upon signature by both. Expiration date: 2025-01-31. Disputes shall be heard in Lyon.", T.metadata)
+    assert m.parties.value == ["Alpha Ltd", "Beta Inc"] and m.agreement_date.value == "3 May 2021" and m.expiration_date.value == "2025-01-31"
+    assert m.effective_date.value is None and m.effective_date_condition.value == "It takes effect upon signature by both"
+    assert m.forum.value == "Lyon" and m.expiration_terms.value is None and "heard in Lyon" in m.forum.evidence
+    m = one("Commencement Date: May 3, 2021. Effective upon notice. It is valid for an indefinite term.", T.metadata)
+    assert m.effective_date.value == "May 3, 2021" and m.effective_date_condition.value is None
+    assert m.expiration_terms.value == "It is valid for an indefinite term" and m.parties.value is None
+    empty = one("", T.metadata)
+    assert all(f.value is None and f.evidence is None for f in empty)
