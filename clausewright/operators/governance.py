@@ -13,6 +13,29 @@ PLAYBOOK = (
 )
 
 
+#: What a run uses where no playbook is given: per clause type its keywords and (id, question, answer that flags, domain).
+STARTER = {
+    "Liability": (["liability", "liable", "damages"], [("LIA-1", "Is the total liability of each party capped?", "NO", "liability"), ("LIA-2", "Are there losses that no cap covers?", "YES", "liability")]),
+    "Termination": (["terminate", "termination", "expiry"], [("TER-1", "Can one party end the contract without cause while the other can't?", "YES", "exit"), ("TER-2", "Is a notice period stated?", "NO", "exit")]),
+    "Payment": (["fee", "price", "payment", "invoice"], [("PAY-1", "Can prices rise without consent?", "YES", "commercial"), ("PAY-2", "Is the time of payment stated?", "NO", "commercial")]),
+    "Confidentiality": (["confidential", "secret"], [("CON-1", "Does the duty of secrecy end at a stated time?", "NO", "information")]),
+}
+STARTER_CROSS = [("X-1", ["Liability", "Payment"], "Can a payment remedy exceed the liability cap?", "YES", "liability"), ("X-2", ["Termination", "Payment"], "Do fees stay due after the contract ends?", "YES", "exit")]
+STARTER_DOCUMENT = [("DOC-1", "Is an order of precedence stated for attached documents?", "NO", "structure"), ("DOC-2", "Is the governing law stated?", "NO", "structure")]
+STARTER_SOURCES = {"starter": ("Starter questions, not legal guidance", "D")}
+
+
+def starter_playbook(spark) -> DataFrame:
+    """One row of the playbook's schema, with this library's own seed questions; every one names the tier-D source."""
+    types = {k: (words, [(i, q, flag, domain, list(STARTER_SOURCES)) for i, q, flag, domain in items]) for k, (words, items) in STARTER.items()}
+    return spark.createDataFrame([(STARTER_SOURCES, types, STARTER_CROSS, STARTER_DOCUMENT)], PLAYBOOK)
+
+
+def playbook_or_starter(playbook: DataFrame) -> DataFrame:
+    """The playbook, or the starter where it has no row."""
+    return playbook if playbook.limit(1).count() else starter_playbook(playbook.sparkSession)
+
+
 def clause_checks(playbook: DataFrame) -> DataFrame:
     """``category, check_id, question, flag_if, domain, sources, keywords``; blank ids and questions left out."""
     c = playbook.select(F.explode("clause_types").alias("category", "t")).select("category", "t.keywords", F.explode("t.checklist").alias("c"))

@@ -241,3 +241,12 @@ def test_rrf_full(spark):
     rows = spark.createDataFrame([("q", 1, 0.9, 0.1), ("q", 2, 0.5, 0.5), ("q", 3, 0.5, 0.2)], "q string, id int, a double, b double")
     got = {r.id: (r.rank_left, r.rank_right, r.rrf) for r in retrieval.rrf_full(rows, ["q"], "a", "b", "id").collect()}
     assert got == {1: (0, 2, 1 / 60 + 1 / 62), 2: (1, 0, 1 / 61 + 1 / 60), 3: (2, 1, 1 / 62 + 1 / 61)}
+
+
+def test_starter_playbook(spark):
+    seed = governance.playbook_or_starter(spark.createDataFrame([], governance.PLAYBOOK))
+    per_clause = governance.clause_checks(seed).collect()
+    assert {r.check_id for r in per_clause} == {i for _, items in governance.STARTER.values() for i, *_ in items}
+    assert all(r.keywords and r.flag_if in ("YES", "NO") and r.sources == ["starter"] for r in per_clause)
+    assert {r.check_id for r in governance.cross_checks(seed).collect()} == {"X-1", "X-2"}
+    assert governance.playbook_or_starter(seed) is seed
