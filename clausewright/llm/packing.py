@@ -19,61 +19,82 @@ Defined results
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clausewright.llm import bins
+from clausewright.llm import bins, textvec
 from clausewright.llm.scratch import Scratch, pick
 
 CAPACITY, END = 4096, 1
-#: Words whose ids a worker keeps; pieces ranked together.
-CACHE, BUCKET = 600_000, 200_000
-#: Signs that the vocabulary never joins to letters before them.
-SIGNS = ".,;:!?#$%&*|"
-#: The last character of those known to stay one letter in lower case.
-LATIN = "\u00ff"
+#: Bytes of texts split into words together.
+SLICE = 4_000_000
+#: Words whose ids a worker keeps; pieces ranked together; words whose ids are put together at once.
+CACHE, BUCKET, GATHER = 400_000, 200_000, 1 << 17
+#: Signs that the vocabulary never joins to letters before them, and the ending of its tokens that end a run of letters or signs.
+SIGNS, WORD_END = ".,;:!?#$%&*|", "</w>"
+#: Letters known to stay one letter in lower case (others may become a letter and a mark, which joins the sign), then signs.
+LETTERS_SIGNS = re.compile(f"([A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([{re.escape(SIGNS)}]*)")
 
 
-class Encoder(dict):
+class Encoder:
     """Little-endian ids by word, filled as words come."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one text at a time: threads would only hold memory
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.old = Tokenizer.from_file(path), {}
-        super().__init__({"": b""})
+        self.tokenizer, self.now, self.old = Tokenizer.from_file(path), {"": b""}, {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[k for w, k in vocabulary.items() if w.endswith(WORD_END)]] = True
 
-    def missing(self, words: Iterable[str]) -> list[str]:
+    def missing(self, words: set[str]) -> set[str]:
         """Words met neither in this generation nor in the one before, whose ids are taken over."""
-        out = []
-        for w in words:
-            if w not in self:
-                found = self.old.get(w)
-                if found is None:
-                    out.append(w)
-                else:
-                    self[w] = found
-        return out
+        new = words.difference(self.now)
+        again = self.old.keys() & new
+        self.now.update(zip(again, map(self.old.__getitem__, again), strict=True))
+        return new - again
 
     def learn(self, words: set[str]) -> None:
-        if len(self) > CACHE // 2:
-            self.old = dict(self)
-            self.clear()
-            self[""] = b""
-        new = self.missing(words)
-        parts = {}
-        for w in new:  # letters and the signs after them are tokenised apart, and letters in lower case
-            core = w.rstrip(SIGNS)
-            apart = core.isascii() or max(core) <= LATIN  # others may become a letter and a mark, which joins the sign
-            parts[w] = (core.lower() if core.isascii() else core, w[len(core) :]) if apart and core.isalpha() else (w, "")
-        self._encode(self.missing({x for p in parts.values() for x in p}))
-        for w, (a, b) in parts.items():
-            self[w] = self[a] + self[b]
+        if len(self.now) > CACHE // 2:
+            self.now, self.old = {"": b""}, self.now
+        plain, signed, others = set(), [], []
+        for w in self.missing(words):
+            m = LETTERS_SIGNS.fullmatch(w)
+            if m is None:
+                others.append(w)
+                continue
+            letters, signs = m.groups()
+            letters = letters.lower()
+            plain.add(letters)
+            if letters != w:
+                plain.add(signs)
+                signed.append((w, letters, signs))
+        self._encode_plain(list(self.missing(plain)))
+        self._encode(others)
+        now = self.now
+        for w, letters, signs in signed:
+            now[w] = now[letters] + now[signs]
+
+    def _encode_plain(self, words: list[str]) -> None:
+        """Words that the vocabulary never cuts apart: each ends with the one token that carries the mark of a word's end."""
+        for at in range(0, len(words), 5000):
+            part = words[at : at + 5000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            cut = ((np.flatnonzero(self.last[ids]) + 1) * 4).tolist()
+            if len(cut) != len(part):
+                self._encode(part)
+                continue
+            data = ids.tobytes()
+            self.now.update(zip(part, map(data.__getitem__, map(slice, [0, *cut], cut)), strict=True))
 
     def _encode(self, words: list[str]) -> None:
         """Many words as one text; each token belongs to the word that its offset lies in."""
@@ -82,25 +103,33 @@ class Encoder(dict):
             found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
             starts = np.cumsum([0, *[len(w) + 1 for w in part]])
             ids, offsets = np.array(found.ids, "<u4"), np.array(found.offsets, np.int64).reshape(-1, 2)
-            cut = np.searchsorted(offsets[:, 0], starts) * 4
+            cut = (np.searchsorted(offsets[:, 0], starts) * 4).tolist()
             data = ids.tobytes()
             for k, w in enumerate(part):
-                self[w] = data[cut[k] : cut[k + 1]]
+                self.now[w] = data[cut[k] : cut[k + 1]]
 
-    def ids(self, texts: list[str | None]) -> Iterator[bytes]:
+    def ids(self, texts: pa.Array | list[str | None]) -> Iterator[bytes]:
         """The ids of each text, four bytes an id."""
-        for at in range(0, len(texts), 500):
-            split = [self.words(t or "") for t in texts[at : at + 500]]
-            self.learn(set().union(*split))
-            for words in split:
-                yield b"".join(map(self.__getitem__, words))
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        for first, _, off in textvec.slices(column, SLICE):
+            words = pc.ascii_split_whitespace(column.slice(first, len(off) - 1).fill_null(""))
+            coded = words.flatten().dictionary_encode()
+            known = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+            self.learn(set(known))
+            found = list(map(self.now.__getitem__, known))
+            flat, size = np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+            begin, index = np.cumsum(size) - size, coded.indices.to_numpy()
+            end = np.cumsum(size[index])
+            data = b"".join(self._gather(flat, begin[index[at : at + GATHER]], size[index[at : at + GATHER]]) for at in range(0, len(index), GATHER))
+            at = (4 * np.concatenate([[0], end])[np.concatenate([[0], np.cumsum(words.value_lengths().to_numpy())])]).tolist()
+            yield from map(data.__getitem__, map(slice, at, at[1:]))
 
     @staticmethod
-    def words(text: str) -> list[str]:
-        for c in "\n\t\r\x0b\x0c":
-            if c in text:
-                text = text.replace(c, " ")
-        return text.split(" ")
+    def _gather(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> bytes:
+        """The runs flat[begin : begin + size] one after the other."""
+        place = np.repeat(begin - (np.cumsum(size) - size), size)
+        place += np.arange(len(place))
+        return flat[place].tobytes()
 
 
 _encoders: dict[str, Encoder] = {}
@@ -122,7 +151,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             row, piece, start, length, crc, kept = [], [], [], [], [], []
-            for k, ids in enumerate(encoder(tokenizer).ids(b.column(1).to_pylist())):
+            for k, ids in enumerate(encoder(tokenizer).ids(b.column(1))):
                 ids += mark
                 for p, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]

@@ -41,7 +41,7 @@ def powers(n: int, base: np.uint64 = BASE) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def slices(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def slices(column: pa.Array | pa.ChunkedArray, size: int = SLICE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) for runs of rows; offsets start at 0 and end at the bytes' length; null is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
@@ -58,7 +58,7 @@ def slices(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, np.ndarray
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     i = 0
     while i < n:
-        j = max(i + 1, int(np.searchsorted(off, off[i] + SLICE, "right")) - 1)
+        j = max(i + 1, int(np.searchsorted(off, off[i] + size, "right")) - 1)
         yield i, data[off[i] : off[j]], off[i : j + 1] - off[i]
         i = j
 
