@@ -37,7 +37,7 @@ CAPACITY, END = 4096, 1
 #: Bytes of texts split into words together.
 SLICE = 4_000_000
 #: Words whose ids a worker keeps; pieces ranked together; words whose ids are put together at once.
-CACHE, BUCKET, GATHER = 400_000, 200_000, 1 << 17
+CACHE, BUCKET, GATHER = 300_000, 200_000, 1 << 17
 #: Signs that the vocabulary never joins to letters before them, and the ending of its tokens that end a run of letters or signs.
 SIGNS, WORD_END = ".,;:!?#$%&*|", "</w>"
 #: Letters known to stay one letter in lower case (others may become a letter and a mark, which joins the sign), then signs.
@@ -122,6 +122,8 @@ class Encoder:
             end = np.cumsum(size[index])
             data = b"".join(self._gather(flat, begin[index[at : at + GATHER]], size[index[at : at + GATHER]]) for at in range(0, len(index), GATHER))
             at = (4 * np.concatenate([[0], end])[np.concatenate([[0], np.cumsum(words.value_lengths().to_numpy())])]).tolist()
+            del words, coded, known, found, flat, size, begin, index, end
+            textvec.give_back()
             yield from map(data.__getitem__, map(slice, at, at[1:]))
 
     @staticmethod

@@ -6,6 +6,7 @@ working arrays stay small whatever the batch holds.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +28,14 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def give_back() -> None:
+    """Free memory goes back to the system, as far as the platform can: workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 #: A 64-bit value for each byte; white space counts nothing.
 BYTE = np.where(IS_SPACE, np.uint64(0), mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
 LOWER = np.arange(256, dtype=np.uint8)
