@@ -190,10 +190,11 @@ def q_shingle_jaccard(spark, d):
 
     Probes are a fixed set; only documents' shingles that a probe has leave their task.
     """
-    grams = lambda df, key: df.select(key, T.tokens("text").alias("w")).select(key, T.shingles(F.col("w"), 5).alias("gs")).select(key, F.explode("gs").alias("g"))
+    # outer explodes: a plain one gets a filter on its array's size, pushed below the words, which then are cut anew for each shingle
+    grams = lambda df, key: df.select(key, T.tokens("text").alias("w")).select(key, T.shingles(F.col("w"), 5).alias("gs")).select(key, F.explode_outer("gs").alias("g")).where("g IS NOT NULL")
     docs = table(spark, d, "documents").withColumn("words", T.tokens("text"))
     # sizes are taken before the explode, so that no exploded row drags its whole array along
-    b = docs.select("doc_id", T.shingles(F.col("words"), 5).alias("gs")).select("doc_id", F.size("gs").alias("nb"), "gs").select("doc_id", "nb", F.explode("gs").alias("g"))
+    b = docs.select("doc_id", T.shingles(F.col("words"), 5).alias("gs")).select("doc_id", F.size("gs").alias("nb"), "gs").select("doc_id", "nb", F.explode_outer("gs").alias("g")).where("g IS NOT NULL")
     a = grams(table(spark, d, "benchmark").select(F.col("item_id").alias("probe"), "text"), "probe")
     na = a.groupBy("probe").agg(F.count("*").alias("na"))
     s = b.join(a, "g").groupBy("probe", "doc_id", "nb").agg(F.count("*").alias("c")).join(na, "probe")
