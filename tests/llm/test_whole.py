@@ -79,3 +79,21 @@ def test_crowd_loses_no_link(spark):
                 want = {k: new if c == old else c for k, c in want.items()}
     got = near_dedup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), size=5, percent=80, crowd=1).collect()
     assert {g.id: g.component for g in got} == want and set(want.values()) != set(want)
+
+
+def test_bucket_of_strangers_loses_no_link(spark, monkeypatch):
+    """Two alike lines meet in one bucket only, where any number of strangers stand between them."""
+    from clausewright.llm.scratch import Scratch
+
+    r = random.Random(9)
+    texts = []
+    for _ in range(60):
+        x = "".join(r.choice("abcdefgh") for _ in range(r.randrange(60, 120)))
+        texts += [x, x[:30] + "z" + x[31:]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    rows = [((i, 0), len(x), None, [7, r.randrange(1 << 60)]) for i, x in enumerate(texts)]
+    lines = spark.createDataFrame(rows, "line struct<id: long, place: int>, chars int, short string, blocks array<long>")
+    for block in (1000, 20):
+        monkeypatch.setattr(line_dedup, "BLOCK", block, raising=False)
+        found = line_dedup.groups(lines, docs, 0.9, Scratch(spark, "test"), 1 << 20).collect()
+        assert {(x.line.id, x.root.id) for x in found} == {(2 * k + 1, 2 * k) for k in range(60)}
