@@ -115,3 +115,43 @@ def test_moved_passages_by_edits(spark):
     got = {x.a // 2 for x in line_dedup.verified(spark.createDataFrame([(2 * i + 1, 2 * i) for i in range(len(pairs))], "a long, b long"), texts, 0.9).collect()}
     want = {i for i, (x, y) in enumerate(pairs) if 10 * distance(x, y) <= max(len(x), len(y))}
     assert got == want and 0 < len(want) < len(pairs)
+
+
+def test_replaced_words_by_edits(spark):
+    """Pairs proved word by word, or whose starts differ most, are the pairs that the whole edit distance gives."""
+    r = random.Random(11)
+    word = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
+    pairs = []
+    for k in range(90):
+        x = [word(r.randrange(1, 9)) for _ in range(60)] if k % 9 else [word(2), word(150), word(40)]
+        y = list(x)
+        for at in range(r.randrange(0, 12)) if k % 3 == 0 else [r.randrange(len(x)) for _ in range(r.randrange(1, 12))]:
+            at = min(at, len(y) - 1)
+            y[at] = word(len(y[at])) if len(y[at]) < 20 else "z" + y[at][2:]
+        pairs.append((" ".join(x), " ".join(y if k % 2 else y[1:])))
+    texts = spark.createDataFrame([(i, x) for i, x in enumerate(t for p in pairs for t in p)], "line long, norm string")
+    got = {x.a // 2 for x in line_dedup.verified(spark.createDataFrame([(2 * i + 1, 2 * i) for i in range(len(pairs))], "a long, b long"), texts, 0.9).collect()}
+    proved = texts.selectExpr("norm x").limit(1).selectExpr("x", "concat(x, 'z') y").selectExpr(f"{line_dedup.worded()} d", "levenshtein(x, y) e").first()
+    want = {i for i, (x, y) in enumerate(pairs) if 10 * distance(x, y) <= max(len(x), len(y))}
+    assert got == want and 0 < len(want) < len(pairs) and proved.d == proved.e == 1
+
+
+def test_shuffles_go_with_each_table(spark):
+    """The next table of a tidy operator frees the shuffle files of those before."""
+    import time
+
+    from clausewright.llm.scratch import Scratch
+
+    def shuffles():
+        names = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n")
+        return {x for x in names if "/shuffle_" in x}
+
+    old, work = shuffles(), Scratch(spark, "test", tidy=True)
+    work.keep(spark.range(1000).selectExpr("id % 7 k").groupBy("k").count())
+    made = shuffles() - old
+    time.sleep(1)  # Spark's listeners hold the last plan for a moment
+    work.keep(spark.range(10))
+    until = time.time() + 20
+    while made & shuffles() and time.time() < until:
+        time.sleep(0.1)
+    assert made and not made & shuffles()
